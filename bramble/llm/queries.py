@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules
+from . import decontamination, packing, quality_rules, token_counts, token_files, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"), size=2048, end_id=0)
+    return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(_table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, manifest).withColumnRenamed("_id", "doc_id")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.with_counts(_table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     add = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -77,8 +92,11 @@ FROM f
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
+        "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
+        "op8_token_counts": op8_token_counts,
     }
 
 
