@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_rules, token_counts, token_files, tokens
+from . import decontamination, packing, quality_rules, token_counts, token_files, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,21 @@ FROM f
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(_table(spark, sf_dir, "pages"), min_dedup_bytes=100)
+    return warc.read(spark, manifest).withColumnRenamed("_id", "page_id")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
@@ -97,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op10_warc": op10_warc,
     }
 
 
@@ -104,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
+        "op10_warc": OP10_SQL,
     }
