@@ -7,18 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_rules, token_counts, token_files, tokens, warc
+from . import decontamination, language_id, ngram_join, packing, perspectives, quality_rules, token_counts, token_files, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + least(4, len(ws)) - 1] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) AS m ON d.doc_id = m.doc_id
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"), size=2048, end_id=0)
     return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(_table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, manifest).withColumnRenamed("_id", "doc_id")
@@ -90,6 +111,29 @@ FROM f
 """
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspectives.rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string"))), ",")
+    return out.select(F.col("_id").alias("conv_id"), "part", "perspective", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), spans.alias("mask"))
+
+
+OP9_SQL = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn // 1000 AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, part, role AS perspective FROM t WHERE role <> 'system'),
+r AS (
+  SELECT p.conv_id, p.part, p.perspective, t.turn, t.role, t.text, t.role = p.perspective AS own,
+    '<|im_start|>' || CASE WHEN t.role = p.perspective THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
+    t.text || '<|im_end|>' AS body
+  FROM p JOIN t ON p.conv_id = t.conv_id AND p.part = t.part),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
+g AS (
+  SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
+    string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (own) AS mask
+  FROM s GROUP BY conv_id, part, perspective)
+SELECT conv_id, CAST(part AS BIGINT) AS part, perspective, n_turns, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256, coalesce(mask, '') AS mask FROM g
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(_table(spark, sf_dir, "pages"), min_dedup_bytes=100)
     return warc.read(spark, manifest).withColumnRenamed("_id", "page_id")
@@ -107,18 +151,23 @@ FROM f
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
+        "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op9_perspectives": op9_perspectives,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": OP1_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
+        "op9_perspectives": OP9_SQL,
         "op10_warc": OP10_SQL,
     }
