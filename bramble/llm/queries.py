@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, perspectives, quality_rules, token_counts, token_files, tokens, warc
+from . import decontamination, language_id, ngram_join, packing, perspectives, pii, quality_rules, token_counts, token_files, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,16 @@ FROM f
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    kinds = F.array(*(F.lit(k) for k in pii.KINDS))
+    said = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.element_at(kinds, c["kind"] + 1), c["start"].cast("string"), c["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda c: c["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda c: c["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select(F.col("_id").alias("doc_id"), *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perspectives.rotate(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string"))), ",")
@@ -157,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
+        "op7_pii": op7_pii,
         "op8_token_counts": op8_token_counts,
         "op9_perspectives": op9_perspectives,
         "op10_warc": op10_warc,
