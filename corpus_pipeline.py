@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from bramble.llm import decontamination, ngram_join, packing, pii, quality_rules, tokens
 from bramble.llm.shared import fresh_path
+from bramble.ship import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host isn't rejected."""
+    ship(spark)
     return quality_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more; the smallest id stays."""
+    ship(spark)
     return ngram_join.deduplicate(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
+    ship(spark)
     return decontamination.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
@@ -35,6 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a sequence of 2048 tokens."""
+    ship(spark)
     out = packing.pack(docs, tokens.default_path("byte_bpe_50k.json"), size=2048, end_id=0)
     return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
