@@ -10,6 +10,10 @@ linked sets agree in more than `spare` slots, of which one at least isn't empty
 ones; a set with more is dealt again with another seed, and after the last seed files its empty slots too. Sets that agree in
 no slot can't be linked: none is lost. Slot keys are shuffled as packed arrays, and each key's nodes are tied to its smallest.
 
+The first deal leaves out frequent shingles, so that a passage in many documents doesn't tie them all; later deals take whole
+sets. Leaving the same shingles out of two sets makes them differ in no more than before, so nothing is lost by it whichever
+shingles they are. They are found by counting all distinct sets, a task's part at a time, and are at most `FREQUENT_MOST`.
+
 Tiles. Tied nodes form groups. A group of up to `block` nodes and `block_shingles` shingles is a tile; a larger one is cut by
 size band and hash into blocks, and pairs of blocks of the same or neighbouring bands are its tiles. In a tile, nodes are
 sorted by size; for each, the later ones of fitting size that aren't connected with it yet are held against it by the bit count
@@ -42,6 +46,10 @@ SEEDS = 3
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Slot keys that a task holds before it hands them on, and keys for a partition after the shuffle.
 HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
+#: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
+FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
+#: Shingles of a part.
+PART_SHINGLES = 2_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -89,22 +97,27 @@ def _starts(percent: int) -> np.ndarray:
     return np.array([x[0] for x in contexts(percent)[::2]])
 
 
-def slot_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set is filed."""
-    out = []
+def slot_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The keys under which a set is filed. frequent: sorted shingles that the first deal leaves out."""
+    out, rare = [], shingles
+    if frequent is not None and len(frequent):
+        at = np.searchsorted(frequent, shingles)
+        at[at == len(frequent)] = 0
+        rare = shingles[frequent[at] != shingles]
     for number, k in _contexts_of(len(shingles), percent):
         spare = 1 + -(-k // 10)
         m = k + 1 + spare
-        for seed in range(SEEDS):
-            own = mix(shingles + _C[2] * np.array([seed + 1], dtype=np.uint64))
+        for seed in range(SEEDS + 1):
+            own = mix((shingles if seed else rare) + _C[2] * np.array([seed + 1], dtype=np.uint64))
             slot = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             ranked = slot[order]
             first = np.flatnonzero(np.diff(ranked, prepend=-1))
-            digest = np.add.reduceat(mix(own ^ _C[3])[order], first)
             used = ranked[first]
-            salt = np.array([number * SEEDS + seed + 1], dtype=np.uint64) * _C[0]
-            out.append(mix(digest + used.astype(np.uint64) * _C[1] + salt))
+            salt = np.array([number * (SEEDS + 1) + seed + 1], dtype=np.uint64) * _C[0]
+            if len(used):
+                digest = np.add.reduceat(mix(own ^ _C[3])[order], first)
+                out.append(mix(digest + used.astype(np.uint64) * _C[1] + salt))
             if m - len(used) <= spare:
                 break
         else:
@@ -113,6 +126,51 @@ def slot_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+def _distinct(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.int64, np.ndarray]]:
+    """A task's nodes and sets, copies left out as far as bounded memory tells."""
+    seen: set = set()
+    for _, texts in text_slices(batches, "_text"):
+        for own in shingle_sets(texts, width):
+            if not len(own):
+                continue
+            node = node_of(own)
+            if node in seen:
+                continue
+            if len(seen) >= 500_000:
+                seen.clear()
+            seen.add(node)
+            yield node, own
+
+
+def _count_shingles(width: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> pa.RecordBatch:
+            shingles, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= FREQUENT_PART
+            return pa.RecordBatch.from_arrays([pa.array(shingles[many].view(np.int64)), pa.array(n[many], pa.int64())], ["shingle", "sets"])
+
+        held, size = [], 0
+        for _, own in _distinct(batches, width):
+            held.append(own)
+            size += len(own)
+            if size >= PART_SHINGLES:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return count
+
+
+def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted; at most FREQUENT_MOST."""
+    counted = texts.mapInArrow(_count_shingles(width), "shingle long, sets long")
+    many = materialize(counted.groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT), "frequent")
+    if many.count() > FREQUENT_MOST:
+        many = many.orderBy(F.desc("sets"), "shingle").limit(FREQUENT_MOST)
+    return np.sort(many.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _name(width: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "_text"):
@@ -124,13 +182,11 @@ def _name(width: int):
     return name
 
 
-def _file(width: int, percent: int, bits: int):
+def _file(width: int, percent: int, bits: int, frequent: np.ndarray):
     """Packed slot keys and nodes, by partition: the first bits of the key."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held, seen = [], [], 0, set()
-
-        def flush() -> pa.RecordBatch:
+        def out(keys: list, nodes: list) -> pa.RecordBatch:
             k, n = np.concatenate(keys), np.concatenate(nodes)
             part = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), dtype=np.int64)
             order = np.argsort(part, kind="stable")
@@ -140,25 +196,17 @@ def _file(width: int, percent: int, bits: int):
             packed = [k[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], ["p", "packed"])
 
-        for _, texts in text_slices(batches, "_text"):
-            for own in shingle_sets(texts, width):
-                if not len(own):
-                    continue
-                node = node_of(own)
-                if node in seen:
-                    continue  # a copy: its keys are on their way
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(node)
-                k = slot_keys(own, percent)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, dtype=np.int64))
-                held += len(k)
+        keys, nodes, held = [], [], 0
+        for node, own in _distinct(batches, width):
+            k = slot_keys(own, percent, frequent)
+            keys.append(k)
+            nodes.append(np.full(len(k), node, dtype=np.int64))
+            held += len(k)
             if held >= HELD_KEYS:
-                yield flush()
+                yield out(keys, nodes)
                 keys, nodes, held = [], [], 0
         if held:
-            yield flush()
+            yield out(keys, nodes)
 
     return file
 
@@ -299,7 +347,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_th")).alias("one"), F.first("n").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total * 0.45 / PARTITION_KEYS)))))
-    filed = slim.select("_text").mapInArrow(_file(width, percent, bits), "p long, packed binary")
+    frequent = frequent_shingles(slim.select("_text"), width)
+    filed = slim.select("_text").mapInArrow(_file(width, percent, bits, frequent), "p long, packed binary")
     tied = filed.repartition(max(1, 1 << bits), "p").sortWithinPartitions("p").mapInArrow(_tie, "a long, b long")
     ties = graph.components(tied)
     active = nodes.join(ties, "node").select("root", "node", "n", F.col("one._id").alias("_one"), F.col("one._th").alias("_one_th"))

@@ -140,7 +140,20 @@ def test_linked_sets_share_a_key(percent):
                     break
             else:
                 continue
-            assert np.intersect1d(ngram_join.slot_keys(a, percent), ngram_join.slot_keys(b, percent)).size, (n, out, new)
+            for share in (0, 0.3, 0.9, 1):  # whichever shingles count as frequent
+                every = np.union1d(a, b)
+                frequent = np.sort(rng.permutation(every)[: int(share * len(every))])
+                assert np.intersect1d(ngram_join.slot_keys(a, percent, frequent), ngram_join.slot_keys(b, percent, frequent)).size, (n, out, new, share)
+
+
+def test_frequent_shingles_change_no_result(spark, monkeypatch):
+    """A passage in every text: found to be frequent, and the components are what they are without that."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
+    passage = prose(77, 60)
+    rows = [(i, f"{prose(500 + i // 3, 40 + i)} {passage}" + " x y z"[: 2 * (i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len(ngram_join.frequent_shingles(df.withColumnRenamed("text", "_text").select("_text"), 5)) >= 56
+    assert both(ngram_join.components(df)) == brute_components(rows, 5, 80)
 
 
 def test_components_of_chains(spark):
