@@ -337,44 +337,52 @@ def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) ->
     return joined.withColumn("_tiles", F.when(one, alone).otherwise(F.concat(within, up, down))).drop("_b", "_c", "_s", "_band")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """A row for each document: _id, n (the size of its set) and component (the smallest id it is connected with)."""
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """_id, _th (the text's hash), n, component, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     named = materialize(slim.mapInArrow(_name(width), f"_id {kind}, _th long, n long, node long"), "sets")
-    nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_th")).alias("one"), F.first("n").alias("n")), "nodes")
+    one = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_th").alias("th"))).alias("one")
+    nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(one, F.first("n").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total * 0.45 / PARTITION_KEYS)))))
     frequent = frequent_shingles(slim.select("_text"), width)
     filed = slim.select("_text").mapInArrow(_file(width, percent, bits, frequent), "p long, packed binary")
     tied = filed.repartition(max(1, 1 << bits), "p").sortWithinPartitions("p").mapInArrow(_tie, "a long, b long")
     ties = graph.components(tied)
-    active = nodes.join(ties, "node").select("root", "node", "n", F.col("one._id").alias("_one"), F.col("one._th").alias("_one_th"))
+    active = nodes.join(ties, "node").select("root", "node", "n", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th"))
     active = materialize(_tiles(active, percent, block, block_shingles), "tiles")
     with_text = slim.join(active, slim["_id"].eqNullSafe(active["_one"]) & (slim["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
     sets = with_text.mapInArrow(_sets(width), "node long, _tiles array<struct<tile:string,side:int>>, shingles binary")
     laid = sets.select(F.explode("_tiles").alias("t"), "node", "shingles").select("t.tile", "t.side", "node", "shingles")
     linked = laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(percent), "a long, b long")
     found = graph.components(linked)
-    roots = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
-    by_node = materialize(roots.join(least, roots["root"] == least["_root"]).select(F.col("node").alias("_node"), "component"), "components")
+    roots = nodes.join(found, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min("one").alias("first")).withColumnRenamed("root", "_root")
+    by_node = materialize(roots.join(first, roots["root"] == first["_root"]).select(F.col("node").alias("_node"), "first"), "components")
     out = named.join(by_node, named["node"] == by_node["_node"], "left")
-    return out.select("_id", "n", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
+    return out.select("_id", "_th", "n", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("first.id")).alias("component"), "first")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """A row for each document: _id, n (the size of its set) and component (the smallest id it is connected with)."""
+    return _components(docs, id_col, text_col, width, percent, block, block_shingles).select("_id", "n", "component")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each component stays: that with the smallest id.
+    """The rows of docs, with all their columns, of which one of each component stays: that with the smallest id, nulls last.
 
-    Rows with a null id stay, for nothing tells them apart; of rows that repeat the smallest id, all of them equal, one stays.
+    Of rows with equal id and text one stays; of rows with equal id and other texts in one component, one by the texts' hashes.
+    Documents with an empty set all stay.
     """
-    found = components(docs, id_col, text_col, width, percent)
-    gone = materialize(found.where("_id <> component").select(F.col("_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    twice = materialize(found.where("_id = component").groupBy("_id").count().where("count > 1").select(F.col("_id").alias("_twice")), "twice")
+    found = materialize(_components(docs, id_col, text_col, width, percent, BLOCK, BLOCK_SHINGLES).where("n > 0").groupBy("_id", "_th", "first").count(), "found")
+    goes = ~(F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_th") == F.col("first.th")))
+    same = lambda rows, keys: rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_th"])
+    gone = found.where(goes).select("_id", "_th")
+    out = docs.join(gone, same(docs, gone), "left_anti")
+    twice = found.where(~goes & (F.col("count") > 1)).select("_id", "_th")
     if twice.isEmpty():
         return out
-    repeated = out.join(F.broadcast(twice) if twice.count() < 100_000 else twice, out[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
-    return out.join(twice, out[id_col] == twice["_twice"], "left_anti").unionByName(repeated)
+    return out.join(twice, same(out, twice), "left_anti").unionByName(out.join(twice, same(out, twice), "left_semi").dropDuplicates([id_col, text_col]))

@@ -108,6 +108,17 @@ def test_ngram_join(docs, none):
     assert ngram_join.deduplicate(none).count() == 0
 
 
+def test_deduplicate_with_repeated_ids(spark):
+    """Ids that aren't unique, and components of null ids alone."""
+    a, b, c = prose(21, 50), prose(22, 50), prose(23, 50)
+    rows = [(1, a), (1, a), (2, a + " x"), (1, b), (1, b + " y"), (5, b), (None, c), (None, c + " z"), (None, c), (7, None), (7, None), (8, "")]
+    out = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] in (7, 8)) == [7, 7, 8]
+    assert [r["text"] for r in out if r["doc_id"] == 1 and r["text"] == a] == [a]
+    assert sum((r["text"] or "").startswith(b) for r in out) == 1 and sum((r["text"] or "").startswith(c) for r in out) == 1
+    assert len(out) == 6
+
+
 @pytest.mark.parametrize("width,percent,block", [(4, 85, 2048), (5, 80, 7), (3, 90, 3)])
 def test_ngram_join_near_copies(spark, width, percent, block):
     """Groups around the threshold, chains, and blocks so small that groups are cut into many tiles."""
