@@ -337,6 +337,49 @@ def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) ->
     return joined.withColumn("_tiles", F.when(one, alone).otherwise(F.concat(within, up, down))).drop("_b", "_c", "_s", "_band")
 
 
+#: A filter of text hashes takes at most 2^27 bits, 16 MB; with more hashes than bits it would let all rows pass and isn't made.
+FILTER_BITS, FILTER_PARTS = 27, 6
+
+
+def _filter_part(bits: int):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            number = (at >> np.uint64(bits - FILTER_PARTS)).astype(np.int64)
+            for k in np.unique(number).tolist():
+                flags = own.setdefault(k, np.zeros(1 << (bits - FILTER_PARTS), dtype=bool))
+                flags[(at[number == k] & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+        for k, flags in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["k", "flags"])
+
+    return part
+
+
+def _pass(flags: np.ndarray, bits: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index("_th")).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            yield batch.filter(pa.array((flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+    return keep
+
+
+def _that_may_match(slim: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of slim whose text hash may be among hashes (one column), by a bit filter of bounded size: texts that no group needs aren't shuffled."""
+    n = hashes.count()
+    if n > 1 << FILTER_BITS:
+        return slim
+    bits = int(np.clip(np.ceil(np.log2(8 * max(1, n))), FILTER_PARTS + 3, FILTER_BITS))
+    part = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - FILTER_PARTS)
+    rows = hashes.repartition(1 << FILTER_PARTS, part).mapInArrow(_filter_part(bits), "k long, flags binary").collect()  # FILTER_PARTS pieces of the filter
+    flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    size = len(flags) >> FILTER_PARTS
+    for r in rows:
+        flags[r["k"] * size : (r["k"] + 1) * size] |= np.frombuffer(r["flags"], dtype=np.uint8)
+    return slim.mapInArrow(_pass(flags, bits), slim.schema)
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
     """_id, _th (the text's hash), n, component, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
     if not 75 <= percent <= 100:
@@ -354,7 +397,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     ties = graph.components(tied)
     active = nodes.join(ties, "node").select("root", "node", "n", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th"))
     active = materialize(_tiles(active, percent, block, block_shingles), "tiles")
-    with_text = slim.join(active, slim["_id"].eqNullSafe(active["_one"]) & (slim["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
+    texts = _that_may_match(slim, active.select("_one_th"))
+    with_text = texts.join(active, texts["_id"].eqNullSafe(active["_one"]) & (texts["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
     sets = with_text.mapInArrow(_sets(width), "node long, _tiles array<struct<tile:string,side:int>>, shingles binary")
     laid = sets.select(F.explode("_tiles").alias("t"), "node", "shingles").select("t.tile", "t.side", "node", "shingles")
     linked = laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(percent), "a long, b long")
