@@ -17,8 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """node and root (the smallest node of its component) for each node that has an edge to another one.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each node tells its larger, then its smaller neighbours the
-    smallest node it knows. Rounds are written to the shared folder; nothing but a checksum reaches the driver. A hub's edges
-    meet its minimum in a join whose skew Spark splits.
+    smallest node it knows. Rounds are written to the shared folder; nothing but a checksum reaches the driver. Minima are
+    written too, so that the join of a hub's edges with its minimum has plain exchanges on both sides, whose skew Spark splits.
     """
     spark = edges.sparkSession
     base = fresh_path(spark, "components")
@@ -26,14 +26,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     last, now = None, _kept(pairs, f"{base}/0")
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), f"{base}/{k}-large")
         large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        large = _kept(large, f"{base}/{k}-edges")
+        least = _kept(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), f"{base}/{k}-small")
         told = large.join(least, large["u"] == least["w"]).select("u", "v", "m")
         small = told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
         now = _kept(small, f"{base}/{k}")
-        if k > 1:
-            delete(spark, f"{base}/{k - 2}")
+        for old in (k - 1, f"{k}-large", f"{k}-edges", f"{k}-small"):
+            delete(spark, f"{base}/{old}")
         check = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if check == last:
             break
