@@ -17,7 +17,6 @@ nothing. Further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -204,11 +203,13 @@ def _indexed(docs: DataFrame, text_col: str, block: list[tuple[int, np.ndarray,
         vocabularies.setdefault(min(SHINGLE, size), []).append(_shingles(words, min(SHINGLE, size)).reshape(-1))
     sets = {k: np.unique(np.concatenate(v)) for k, v in vocabularies.items()}
     counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(_count(sets, "_text"), "size int, shingle long, docs long")
-    rows = counted.groupBy("size", "shingle").agg(F.sum("docs").alias("docs")).collect()  # at most the block's shingles
+    rows = counted.groupBy("size", "shingle").agg(F.sum("docs").alias("docs")).toArrow()  # at most the block's shingles
+    size, shingle, seen = (rows.column(c).to_numpy() for c in ("size", "shingle", "docs"))
     rarity = {}
     for k in sets:
-        own = sorted((r["shingle"] % (1 << 64), r["docs"]) for r in rows if r["size"] == k)
-        rarity[k] = (np.array([x for x, _ in own], dtype=np.uint64), np.array([x for _, x in own], dtype=np.int64))
+        own = shingle[size == k].view(np.uint64)
+        order = np.argsort(own)
+        rarity[k] = (own[order], seen[size == k][order])
     return _index(block, rarity)
 
 
@@ -269,8 +270,3 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     for block in _windows_of(benchmark, width, item_col, item_text_col, block_windows):
         out = out.mapInArrow(_keep(_indexed(docs, text_col, block), text_col, max_hit_percent), docs.schema)
     return out
-
-
-def digest(items: list[str]) -> str:
-    """Lowercase hex SHA-256 of the ids, comma-joined."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
