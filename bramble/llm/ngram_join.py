@@ -45,11 +45,11 @@ BAND = 1.41
 SEEDS = 3
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Slot keys that a task holds before it hands them on, and keys for a partition after the shuffle.
-HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
+HELD_KEYS, PARTITION_KEYS = 500_000, 1_000_000
 #: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
 FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
 #: Shingles of a part.
-PART_SHINGLES = 2_000_000
+PART_SHINGLES = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -398,7 +398,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     active = nodes.join(ties, "node").select("root", "node", "n", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th"))
     active = materialize(_tiles(active, percent, block, block_shingles), "tiles")
     texts = _that_may_match(slim, active.select("_one_th"))
-    with_text = texts.join(active, texts["_id"].eqNullSafe(active["_one"]) & (texts["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
+    # A merge join at every size: a broadcast would put two Python steps into one task, with a worker each.
+    with_text = texts.join(active.hint("merge"), texts["_id"].eqNullSafe(active["_one"]) & (texts["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
     sets = with_text.mapInArrow(_sets(width), "node long, _tiles array<struct<tile:string,side:int>>, shingles binary")
     laid = sets.select(F.explode("_tiles").alias("t"), "node", "shingles").select("t.tile", "t.side", "node", "shingles")
     linked = laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(percent), "a long, b long")
