@@ -9,9 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch on its way to or from Python: a worker holds two or so, beside what its kernel needs.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's executors, once for each Spark context; harmless where it is installed."""
+    """Give this package to the session's executors, once for each Spark context; harmless where it is installed.
+
+    Arrow batches of the session are bounded too, for long texts would else make batches of any size.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(context, "_bramble_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
