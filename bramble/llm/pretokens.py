@@ -8,6 +8,7 @@ two agree by construction.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -154,20 +155,19 @@ class Pretokens:
 
     def __init__(self, specials: dict[str, int], keep_blanks: bool, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], normalize: Callable[[str], str] | None = None, most: int = 1_500_000):
         self.specials, self.keep_blanks, self.make, self.normalize = specials, keep_blanks, make, normalize
+        self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))) or "(?!)")
         self.table, self.memo = classes(), Memo(most)
 
     def _segments(self, text: str) -> Iterator[str | int]:
         """Plain pieces of a text and the ids of the special strings between them; the leftmost, then the longest special wins."""
-        while text:
-            found = [(at, -len(s), s) for s in self.specials if (at := text.find(s)) >= 0]
-            if not found:
-                yield text
-                return
-            at, _, s = min(found)
-            if at:
-                yield text[:at]
-            yield self.specials[s]
-            text = text[at + len(s) :]
+        at = 0
+        for found in self.special.finditer(text):
+            if found.start() > at:
+                yield text[at : found.start()]
+            yield self.specials[found[0]]
+            at = found.end()
+        if at < len(text):
+            yield text[at:]
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token_count, place, bounds, extra): for each pre-token its number of integers and its place in memo.flat; the

@@ -63,3 +63,10 @@ def test_bounded_memory():
         ids, bounds = small.ids([t])
         assert ids.tolist() == tokens._library(path).encode(t, add_special_tokens=False).ids
         assert np.array_equal(bounds, [0, len(ids)])
+
+
+def test_many_special_strings():
+    """Time grows with the text, not with the text times its special strings."""
+    path = tokens.default_path("byte_bpe_50k.json")
+    special = next(iter(tokens.encoder(path).specials))
+    same(path, [special, f"a{special}{special} b", special[:-1] + special, f"x {special}" * 30_000])
