@@ -8,7 +8,8 @@ shingles. Sizes are cut into bands; each band, and each border between two bands
 k. In each context the shingles are dealt by hash into k + 1 + spare slots. A differing shingle spoils one slot at most, so two
 linked sets agree in more than `spare` slots, of which one at least isn't empty if either set has no more than `spare` empty
 ones; a set with more is dealt again with another seed, and after the last seed files its empty slots too. Sets that agree in
-no slot can't be linked: none is lost. Slot keys are shuffled as packed arrays, and each key's nodes are tied to its smallest.
+no slot can't be linked: none is lost. Slot keys are shuffled as packed arrays, and each key's nodes are tied to its smallest;
+that is done before the shuffle too, so a key that a third of all nodes have reaches its task once for each buffer filled.
 
 The first deal leaves out frequent shingles, so that a passage in many documents doesn't tie them all; later deals take whole
 sets. Leaving the same shingles out of two sets makes them differ in no more than before, so nothing is lost by it whichever
@@ -46,6 +47,8 @@ SEEDS = 3
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Slot keys that a task holds before it hands them on, and keys for a partition after the shuffle.
 HELD_KEYS, PARTITION_KEYS = 500_000, 1_000_000
+#: Slot keys that a task holds after the shuffle before it brings each down to one node.
+TIED_KEYS = 4_000_000
 #: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
 FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
 #: Shingles of a part.
@@ -183,18 +186,21 @@ def _name(width: int):
 
 
 def _file(width: int, percent: int, bits: int, frequent: np.ndarray):
-    """Packed slot keys and nodes, by partition: the first bits of the key."""
+    """Packed slot keys and nodes, by partition: the first bits of the key. Each key leaves a buffer once; what else it ties is packed beside."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list, nodes: list) -> pa.RecordBatch:
-            k, n = np.concatenate(keys), np.concatenate(nodes)
+            k, n, ties = compact(np.concatenate(keys), np.concatenate(nodes))
             part = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), dtype=np.int64)
-            order = np.argsort(part, kind="stable")
-            parts, first = np.unique(part[order], return_index=True)
-            k, n = k[order], n[order]
+            parts, first = np.unique(part, return_index=True)
             edges = [*first.tolist(), len(k)]
             packed = [k[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], ["p", "packed"])
+            is_ties = [False] * len(packed)
+            if len(ties):  # they need no key any more, so any partition will do
+                parts = np.append(parts, int(mix(ties[:1, 1].view(np.uint64))[0] >> np.uint64(64 - bits)) if bits else 0)
+                packed.append(ties.T.tobytes())
+                is_ties.append(True)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(is_ties), pa.array(packed, pa.binary())], ["p", "ties", "packed"])
 
         keys, nodes, held = [], [], 0
         for node, own in _distinct(batches, width):
@@ -211,36 +217,49 @@ def _file(width: int, percent: int, bits: int, frequent: np.ndarray):
     return file
 
 
-def tie(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """(ties, 2): the smallest node of each key with each other node of that key."""
-    order = np.lexsort((nodes, keys))
+def compact(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, nodes, ties): each key once, ascending, with its smallest node; and that node with each other one of the key, as (ties, 2)."""
+    order = np.argsort(keys, kind="stable")
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    leader = nodes[first][np.cumsum(new) - 1]
+    least = np.minimum.reduceat(nodes, first)
+    leader = least[np.cumsum(new) - 1]
     other = leader != nodes
-    return np.unique(np.column_stack((leader[other], nodes[other])), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
+    a, b = leader[other], nodes[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.ones(len(a), dtype=bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return keys[first], least, np.column_stack((a[once], b[once]))
 
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(keys: list, nodes: list) -> pa.RecordBatch:
-        ties = tie(np.concatenate(keys), np.concatenate(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], ["a", "b"])
+    def out(ties: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ties[:, 0], pa.int64()), pa.array(ties[:, 1], pa.int64())], ["a", "b"])
 
-    part, keys, nodes = None, [], []
+    part, keys, nodes, held, most = None, [], [], 0, TIED_KEYS
     for batch in batches:
-        for p, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if p != part and keys:
-                yield out(keys, nodes)
-                keys, nodes = [], []
-            part = p
+        for p, is_ties, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = packed.as_buffer()
             half = raw.size // 2
-            keys.append(np.frombuffer(raw.slice(0, half), dtype=np.uint64).copy())
-            nodes.append(np.frombuffer(raw.slice(half), dtype=np.int64).copy())
+            first, second = raw.slice(0, half), raw.slice(half)
+            if is_ties:
+                yield out(np.column_stack((np.frombuffer(first, dtype=np.int64), np.frombuffer(second, dtype=np.int64))))
+                continue
+            full = held >= most
+            if keys and (p != part or full):
+                k, n, ties = compact(np.concatenate(keys), np.concatenate(nodes))
+                yield out(ties)
+                keys, nodes, held = ([k], [n], len(k)) if p == part else ([], [], 0)
+                most = max(TIED_KEYS, 2 * held)
+            part = p
+            keys.append(np.frombuffer(first, dtype=np.uint64).copy())
+            nodes.append(np.frombuffer(second, dtype=np.int64).copy())
+            held += half // 8
     if keys:
-        yield out(keys, nodes)
+        yield out(compact(np.concatenate(keys), np.concatenate(nodes))[2])
 
 
 def _sets(width: int):
@@ -392,7 +411,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     total = nodes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total * 0.45 / PARTITION_KEYS)))))
     frequent = frequent_shingles(slim.select("_text"), width)
-    filed = slim.select("_text").mapInArrow(_file(width, percent, bits, frequent), "p long, packed binary")
+    filed = slim.select("_text").mapInArrow(_file(width, percent, bits, frequent), "p long, ties boolean, packed binary")
     tied = filed.repartition(max(1, 1 << bits), "p").sortWithinPartitions("p").mapInArrow(_tie, "a long, b long")
     ties = graph.components(tied)
     active = nodes.join(ties, "node").select("root", "node", "n", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th"))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("bramble.llm")
@@ -157,6 +158,41 @@ def test_linked_sets_share_a_key(percent):
                 assert np.intersect1d(ngram_join.slot_keys(a, percent, frequent), ngram_join.slot_keys(b, percent, frequent)).size, (n, out, new, share)
 
 
+def test_small_buffers_tie_the_same_nodes(monkeypatch):
+    """Keys leave a buffer once, before and after the shuffle; what is tied stays tied, and a key of all nodes is shuffled once a buffer."""
+    base = prose(31, 80)
+    texts = [f"{base} {prose(600 + i, 2)}" for i in range(120)] + [prose(900 + i // 2, 30) + " z" * (i % 2) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])
+    none_frequent = np.zeros(0, dtype=np.uint64)
+
+    def tied(bits):
+        filed = [x for b in ngram_join._file(4, 85, bits, none_frequent)(iter([batch])) for x in b.to_pylist()]
+        filed.sort(key=lambda r: r["p"])
+        rows = pa.RecordBatch.from_pylist(filed, schema=pa.schema([("p", pa.int64()), ("ties", pa.bool_()), ("packed", pa.binary())]))
+        ties = {(r["a"], r["b"]) for out in ngram_join._tie(iter([rows])) for r in out.to_pylist()}
+        root = {n: n for t in ties for n in t}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in ties:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return {n: find(n) for n in root}, sum(len(r["packed"]) for r in filed if not r["ties"]) // 16
+
+    whole, n_keys = tied(0)
+    assert len(set(whole.values())) <= 21 and len(whole) >= 120
+    every = sum(len(ngram_join.slot_keys(s, 85)) for s in ngram_join.shingle_sets(texts, 4))
+    assert n_keys < every / 2
+    for held in (50, 500):
+        monkeypatch.setattr(ngram_join, "HELD_KEYS", held)
+        monkeypatch.setattr(ngram_join, "TIED_KEYS", held)
+        for bits in (0, 3):
+            assert tied(bits)[0] == whole
+
+
 def test_frequent_shingles_change_no_result(spark, monkeypatch):
     """A passage in every text: found to be frequent, and the components are what they are without that."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 10)
