@@ -404,6 +404,20 @@ def test_perspectives(spark):
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_perspectives_of_long_dialogues(spark):
+    """Parts hold the whole dialogue for every participant and make one rendering; few turns with large numbers aren't cut."""
+    said = [(1, i, "eve" if i == 10 else ("ann", "bob")[i % 2], f"é{i}") for i in range(2500)]
+    few = [(2, i, ("ann", "bob")[i % 2], str(i)) for i in range(998, 1004)]
+    out = perspectives.rotate(spark.createDataFrame(said + few, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert sorted((r["_id"], r["perspective"], r["part"], r["n_turns"]) for r in out) == [(1, s, p, n) for s in ("ann", "bob", "eve") for p, n in enumerate((1000, 1000, 500))] + [(2, "ann", 0, 6), (2, "bob", 0, 6)]
+    for number, who, turns in [(1, s, said) for s in ("ann", "bob", "eve")] + [(2, s, few) for s in ("ann", "bob")]:
+        rows = sorted((r for r in out if (r["_id"], r["perspective"]) == (number, who)), key=lambda r: r["part"])
+        whole = "".join(r["text"] for r in rows)
+        assert whole == "".join(f"<|im_start|>{'assistant' if s == who else 'user name=' + s}\n{t}<|im_end|>\n" for _, _, s, t in turns)
+        assert [whole[m["start"] : m["end"]] for r in rows for m in r["mask"]] == [f"{t}<|im_end|>" for _, _, s, t in turns if s == who]
+        assert all(whole[r["start"] :].startswith(r["text"]) for r in rows)
+
+
 def test_warc(spark):
     big, small = "<html>" + "y" * 200, "tiny"
     rows = [(1, "u1", big), (2, "u 2\n", big), (3, None, small), (4, "u4", small), (5, "u5", None), (None, "u6", big), (0, "u7", big), (8, "u8", "z" * 300_000), (9, "u9", "é" * 60), (10, "u10", "é" * 60), (1, "u1", big)] + [(100 + i, f"u{i}", f"<html>{i}" + prose(i, 90)) for i in range(60)]
