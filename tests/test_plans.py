@@ -52,6 +52,11 @@ def test_streaming_windows_are_the_tables(spark, sf_small):
     assert 0.9 * len(whole) < len(closed) and all(whole[k] == n for k, n in closed.items())
 
 
+def test_streaming_windows_are_complete(spark, sf_small):
+    whole = sorted(map(tuple, plans.queries()["tumbling_events"](spark, sf_small).collect()))
+    assert sorted(map(tuple, plans.queries()["streaming_hourly"](spark, sf_small).collect())) == whole
+
+
 def test_late_rows_and_restart(spark, tmp_path):
     data, out = tmp_path / "in", str(tmp_path / "out")
 
