@@ -3,7 +3,8 @@
 Features are hashed n-grams (1 to 3) of the lower-cased letters, with one blank for whatever lies between letters. Document
 frequencies cover all training documents; the classifier is fitted to a stratified sample of about `sample_rows` of them with
 follow-the-regularised-leader steps and L1 and L2 penalties; a fifth of the sample is kept back to fit the temperature by which
-the scores are divided. Prediction reads each whole text once; there is no shuffle but of counts.
+the scores are divided. Of each language that has a document with letters at least one is fitted to, however large or small
+the language's share is. Prediction reads each whole text once; there is no shuffle but of counts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without training documents all are; a null id
 isn't held out and isn't learned from; a null language is predicted but not learned from; repeated rows are predicted each
@@ -105,16 +106,19 @@ def temperature(scores: np.ndarray, classes: np.ndarray) -> float:
 
 
 def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, langs, any_row = np.zeros(1 << BITS, dtype=np.int64), {}, False
+    df, langs, least, any_row = np.zeros(1 << BITS, dtype=np.int64), {}, {}, False
     for piece, texts in text_slices(batches, "_text"):
         any_row = True
-        for lang, (buckets, _) in zip(piece.column(piece.schema.get_field_index("_lang")).to_pylist(), features(texts), strict=True):
+        own = (piece.column(piece.schema.get_field_index(c)).to_pylist() for c in ("_lang", "_hash"))
+        for lang, h, (buckets, _) in zip(*own, features(texts), strict=True):
             df[buckets] += 1
             langs[lang] = langs.get(lang, 0) + 1
+            if len(buckets):
+                least[lang] = min(h, least.get(lang, h))
     if any_row:
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.nulls(len(some), pa.string()), pa.array(df[some])], ["bucket", "lang", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.array(list(langs), pa.string()), pa.array(list(langs.values()), pa.int64())], ["bucket", "lang", "n"])
+        some, names = np.flatnonzero(df), ["bucket", "lang", "n", "least"]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.nulls(len(some), pa.string()), pa.array(df[some]), pa.nulls(len(some), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.array(list(langs), pa.string()), pa.array(list(langs.values()), pa.int64()), pa.array([least.get(k) for k in langs], pa.int64())], names)
 
 
 def _train(idf: np.ndarray, langs: list[str]):
@@ -124,8 +128,12 @@ def _train(idf: np.ndarray, langs: list[str]):
         for piece, texts in text_slices(batches, "_text"):
             own = piece.column(piece.schema.get_field_index("_lang")).to_pylist()
             rows += [(b, weigh(b, c, idf), number[k]) for k, (b, c) in zip(own, features(texts), strict=True) if len(b)]
-        back = [r for i, r in enumerate(rows) if i % 5 == 4]
-        weights = fit([r for i, r in enumerate(rows) if i % 5 != 4], len(langs))
+        first = {}
+        for i, (*_, k) in enumerate(rows):
+            first.setdefault(k, i)
+        kept = [i % 5 == 4 and first[k] != i for i, (*_, k) in enumerate(rows)]  # a language's first row is fitted to
+        back = [r for r, b in zip(rows, kept, strict=True) if b]
+        weights = fit([r for r, b in zip(rows, kept, strict=True) if not b], len(langs))
         scores = np.array([x @ weights[b] for b, x, _ in back]).reshape(len(back), len(langs))
         out = io.BytesIO()
         np.savez_compressed(out, weights=weights.astype(np.float32), temperature=temperature(scores, np.array([k for *_, k in back], dtype=int)))
@@ -152,12 +160,19 @@ class Model:
         return langs, scores
 
 
+def _limit(n: int, quota: int, least: int | None) -> int:
+    """Of a language's n rows those are sampled whose hash isn't over this: about quota of them, and that of the least hash with letters."""
+    share = -(1 << 63) + (min(quota, n) << 64) // n - 1
+    return max(share, -(1 << 63) if least is None else least)
+
+
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows for which `learn` is true and the language isn't null."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    counted = rows.select("_lang", "_text").mapInArrow(_count_documents, "bucket long, lang string, n long")
-    found = counted.groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect()  # a row for each bucket and language
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_hash"))
+    counted = rows.select("_lang", "_text", "_hash").mapInArrow(_count_documents, "bucket long, lang string, n long, least long")
+    found = counted.groupBy("bucket", "lang").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()  # a row for each bucket and language
     langs = {r["lang"]: r["n"] for r in found if r["lang"] is not None}
+    least = {r["lang"]: r["least"] for r in found}
     df = np.zeros(1 << BITS)
     for r in found:
         if r["bucket"] is not None:
@@ -167,9 +182,9 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     if not names:
         return Model([], idf, np.zeros((1 << BITS, 0)), 1.0)
     quota = max(1, sample_rows // len(names))
-    share = F.create_map(*(F.lit(x) for k, n in langs.items() for x in (k, int(min(1.0, quota / n) * 1_000_000))))
-    sample = rows.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < share[F.col("_lang")])
-    one = sample.repartition(1).sortWithinPartitions(F.xxhash64("_id", "_text"), "_id", "_lang")
+    limit = F.create_map(*(F.lit(x).cast(kind) for k, n in langs.items() for x, kind in ((k, "string"), (_limit(n, quota, least[k]), "long"))))
+    sample = rows.where(F.col("_hash") <= limit[F.col("_lang")])
+    one = sample.repartition(1).sortWithinPartitions("_hash", "_id", "_lang")
     with np.load(io.BytesIO(one.mapInArrow(_train(idf, names), "model binary").first()["model"])) as told:
         return Model(names, idf, told["weights"].astype(np.float64), float(told["temperature"]))
 

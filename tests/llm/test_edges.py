@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("bramble.llm")
 from bramble.llm import decontamination, graph, language_id, ngram_join, packing, perspectives, pii, quality_rules, token_counts, token_files, tokens, warc  # noqa: E402
@@ -303,6 +304,21 @@ def test_language_id(docs, none, spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.identify(nothing).collect()} == {("und", 0.0)}
 
 
+def test_language_id_learns_every_language(spark):
+    """Also those of whose documents the sample takes a small share: with 30 languages, one of each is its quota."""
+    rows = [(40 * k + i, prose(1000 * k + i, 30), f"l{k:02}") for k in range(30) for i in range(40)]
+    learned = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_rows=30)
+    assert len(learned.langs) == 30 and (learned.weights.max(axis=0) > 0).all()
+
+
+def test_language_id_sample_of_a_large_language():
+    """The share isn't rounded to nothing, and what it takes is about the quota."""
+    for n in (1, 39, 40, 41, 50_000_000, 10**12):
+        limit = language_id._limit(n, 40, None)
+        assert -(2**63) < limit < 2**63 and abs((limit + 2**63 + 1) / 2**64 * n - min(n, 40)) < 1e-3
+    assert language_id._limit(10**12, 1, 5) == 5
+
+
 def test_language_id_accuracy(spark, sf_small):
     df = spark.read.parquet(f"{sf_small}/documents.parquet")
     out = language_id.identify(df).join(df.withColumnRenamed("doc_id", "_id").select("_id", "lang"), "_id").where("held_out").collect()
