@@ -7,10 +7,10 @@ The participants are those of the whole dialogue. A dialogue of more than `part_
 them, so that no row grows with the longest dialogue: part k holds its turns from k * part_turns on, counted in their order. The
 parts make one rendering: their texts, joined in order, are the dialogue's, and start and mask count from its first character.
 
-Defined cases: null text is empty; a null speaker is the user `unknown`, from whose perspective nothing is rendered; rows with a
-null dialogue id are dialogues of one turn each; turns with equal numbers stand in the order of speaker and text, null turns
-first; a dialogue without a participant (system turns only) gives no row; an empty table gives an empty result; further
-columns are not read.
+Defined cases: null text is empty; a null speaker is shown as the user `unknown`, but nothing is rendered from its perspective,
+and it isn't the participant of that name, if there is one; rows with a null dialogue id are dialogues of one turn each; turns
+with equal numbers stand in the order of speaker and text, null turns first; a dialogue without a participant (system turns
+only) gives no row; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +33,15 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", sp
         F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_alone"),
         F.col(turn_col).alias("_turn"),
         F.coalesce(F.col(speaker_col), F.lit(UNKNOWN)).alias("_speaker"),
+        F.col(speaker_col).isNull().alias("_nobody"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
     # All that follows is by dialogue, so turns are shuffled once.
-    ordered = Window.partitionBy("_id", "_alone").orderBy("_turn", "_speaker", "_text")
-    people = F.collect_set(F.when(~F.col("_speaker").isin(SYSTEM, UNKNOWN), F.col("_speaker")))
-    numbered = slim.select("_id", "_alone", "_speaker", "_text", (F.row_number().over(ordered) - 1).alias("_n"), people.over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_people"))
+    ordered = Window.partitionBy("_id", "_alone").orderBy("_turn", "_speaker", "_text", "_nobody")
+    people = F.collect_set(F.when(~F.col("_nobody") & (F.col("_speaker") != SYSTEM), F.col("_speaker")))
+    numbered = slim.select("_id", "_alone", "_speaker", "_nobody", "_text", (F.row_number().over(ordered) - 1).alias("_n"), people.over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_people"))
     each = numbered.withColumn("perspective", F.explode("_people")).drop("_people")
-    own = F.col("_speaker") == F.col("perspective")
+    own = ~F.col("_nobody") & (F.col("_speaker") == F.col("perspective"))
     head = F.concat(F.lit(BEGIN), F.when(own, "assistant").when(F.col("_speaker") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), F.col("_speaker"))), F.lit("\n"))
     each = each.select("_id", "_alone", "perspective", "_n", own.alias("_own"), head.alias("_head"), F.concat(F.col("_text"), F.lit(END)).alias("_body"))
     before = Window.partitionBy("_id", "_alone", "perspective").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)

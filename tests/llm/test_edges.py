@@ -434,6 +434,15 @@ def test_perspectives_of_long_dialogues(spark):
         assert all(whole[r["start"] :].startswith(r["text"]) for r in rows)
 
 
+def test_perspective_of_a_participant_named_unknown(spark):
+    rows = [(1, 0, "unknown", "me"), (1, 1, None, "who"), (1, 2, "ann", "hi"), (2, 0, None, "nobody")]
+    out = {(r["_id"], r["perspective"]): r for r in perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {(1, "ann"), (1, "unknown")}
+    own = out[1, "unknown"]
+    assert own["text"] == "<|im_start|>assistant\nme<|im_end|>\n<|im_start|>user name=unknown\nwho<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n"
+    assert [own["text"][m["start"] : m["end"]] for m in own["mask"]] == ["me<|im_end|>"]
+
+
 def test_warc(spark):
     big, small = "<html>" + "y" * 200, "tiny"
     rows = [(1, "u1", big), (2, "u 2\n", big), (3, None, small), (4, "u4", small), (5, "u5", None), (None, "u6", big), (0, "u7", big), (8, "u8", "z" * 300_000), (9, "u9", "é" * 60), (10, "u10", "é" * 60), (1, "u1", big)] + [(100 + i, f"u{i}", f"<html>{i}" + prose(i, 90)) for i in range(60)]
