@@ -18,7 +18,8 @@ shingles they are. They are found by counting all distinct sets, a task's part a
 Tiles. Tied nodes form groups. A group of up to `block` nodes and `block_shingles` shingles is a tile; a larger one is cut by
 size band and hash into blocks, and pairs of blocks of the same or neighbouring bands are its tiles. In a tile, nodes are
 sorted by size; for each, the later ones of fitting size that aren't connected with it yet are held against it by the bit count
-of their bitmaps' difference, which bounds the intersection from above, and what is left by the exact intersection.
+of their bitmaps' difference, which bounds the intersection from above, and what is left by the exact intersection. pairs() and
+link_counts() hold connected ones against each other too, so they give all links.
 
 Fingerprints of 64 bits stand for shingles and sets: among d sets two different ones count as equal with a chance of d^2 / 2^65.
 
@@ -49,6 +50,8 @@ BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 HELD_KEYS, PARTITION_KEYS = 500_000, 1_000_000
 #: Slot keys that a task holds after the shuffle before it brings each down to one node.
 TIED_KEYS = 4_000_000
+#: Links that a task holds before it hands them on, where all are asked for.
+HELD_LINKS = 100_000
 #: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
 FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
 #: Shingles of a part.
@@ -284,11 +287,30 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a tile. side: 0 for a tile of one block, else 1 and 2 for two blocks held against each other."""
+def _by_size(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     order = np.lexsort((nodes, size))
-    nodes, size, side, sets = nodes[order], size[order], side[order], [sets[i] for i in order]
+    return nodes[order], [sets[i] for i in order], side[order], size[order]
+
+
+def _near(maps: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray, percent: int) -> list[int]:
+    """Those of rest whose bitmaps let them link with i."""
+    both = size[rest] + size[i]
+    apart = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
+    need = -(-percent * both // (100 + percent))
+    return rest[(both - apart) // 2 >= need].tolist()
+
+
+def _link(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(other, one)
+    at[at == len(other)] = 0
+    common = int((other[at] == one).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
+def links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a tile. side: 0 for a tile of one block, else 1 and 2 for two blocks held against each other."""
+    nodes, sets, side, size = _by_size(nodes, sets, side)
     maps, label, out = bitmaps(sets), np.arange(len(sets)), []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
@@ -298,38 +320,59 @@ def links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
         rest = np.flatnonzero(open_) + i + 1
         if not len(rest):
             continue
-        both = size[rest] + size[i]
-        apart = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        need = -(-percent * both // (100 + percent))
-        for j in rest[(both - apart) // 2 >= need].tolist():
-            if label[j] == label[i]:
-                continue
-            at = np.searchsorted(sets[j], sets[i])
-            at[at == len(sets[j])] = 0
-            common = int((sets[j][at] == sets[i]).sum())
-            if 100 * common >= percent * (int(size[i]) + int(size[j]) - common):
+        for j in _near(maps, size, i, rest, percent):
+            if label[j] != label[i] and _link(sets[i], sets[j], percent):
                 out.append((int(nodes[i]), int(nodes[j])))
                 label[label == label[j]] = label[i]
     return out
 
 
-def _compare(percent: int):
+def every_link(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """As links(), but all links of a tile, as (links, 2) for one node after the other."""
+    nodes, sets, side, size = _by_size(nodes, sets, side)
+    maps = bitmaps(sets)
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
+        if side[i]:
+            rest = rest[side[rest] != side[i]]
+        found = [j for j in _near(maps, size, i, rest, percent) if _link(sets[i], sets[j], percent)]
+        if found:
+            yield np.column_stack((np.full(len(found), nodes[i]), nodes[found]))
+
+
+def _compare(percent: int, every: bool = False):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: dict) -> pa.RecordBatch:
-            found = links(np.fromiter((k[0] for k in rows), dtype=np.int64), list(rows.values()), np.fromiter((k[1] for k in rows), dtype=np.int64), percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        def batch_of(found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+        def out(rows: dict) -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            tile = np.fromiter((k[0] for k in rows), dtype=np.int64), list(rows.values()), np.fromiter((k[1] for k in rows), dtype=np.int64), percent
+            if not every:
+                yield batch_of(np.array(links(*tile), dtype=np.int64).reshape(-1, 2))
+                return
+            held, size = [], 0
+            for found in every_link(*tile):
+                held.append(found)
+                size += len(found)
+                if size >= HELD_LINKS:
+                    yield batch_of(np.concatenate(held))
+                    held, size = [], 0
+            if held:
+                yield batch_of(np.concatenate(held))
 
         tile, rows = None, {}
         for batch in batches:
             for t, side, node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if t != tile and rows:
-                    yield out(rows)
+                    yield from out(rows)
                     rows = {}
                 tile = t
                 if (node, side) not in rows:  # rows with the same id and text bring it twice
                     rows[node, side] = np.frombuffer(packed.as_buffer(), dtype=np.uint64).copy()
         if rows:
-            yield out(rows)
+            yield from out(rows)
 
     return compare
 
@@ -399,8 +442,8 @@ def _that_may_match(slim: DataFrame, hashes: DataFrame) -> DataFrame:
     return slim.mapInArrow(_pass(flags, bits), slim.schema)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
-    """_id, _th (the text's hash), n, component, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
+def _laid(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (_id, _th: the text's hash, n, node), nodes (node, one, n), and the tiles' sets, those of a tile together."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     kind = dict(docs.dtypes)[id_col]
@@ -421,8 +464,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     with_text = texts.join(active.hint("merge"), texts["_id"].eqNullSafe(active["_one"]) & (texts["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
     sets = with_text.mapInArrow(_sets(width), "node long, _tiles array<struct<tile:string,side:int>>, shingles binary")
     laid = sets.select(F.explode("_tiles").alias("t"), "node", "shingles").select("t.tile", "t.side", "node", "shingles")
-    linked = laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(percent), "a long, b long")
-    found = graph.components(linked)
+    return named, nodes, laid.repartition("tile").sortWithinPartitions("tile")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """_id, _th (the text's hash), n, component, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
+    named, nodes, laid = _laid(docs, id_col, text_col, width, percent, block, block_shingles)
+    found = graph.components(laid.mapInArrow(_compare(percent), "a long, b long"))
     roots = nodes.join(found, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min("one").alias("first")).withColumnRenamed("root", "_root")
     by_node = materialize(roots.join(first, roots["root"] == first["_root"]).select(F.col("node").alias("_node"), "first"), "components")
@@ -435,6 +483,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _components(docs, id_col, text_col, width, percent, block, block_shingles).select("_id", "n", "component")
 
 
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """All links: members (_id, n, node: null for an empty set), a row for each document, and linked (a, b), each pair of linked nodes once.
+
+    Documents of one node are linked too. Every pair that a tile can't rule out is verified, also within a component.
+    """
+    named, _, laid = _laid(docs, id_col, text_col, width, percent, block, block_shingles)
+    return named.select("_id", "n", "node"), materialize(laid.mapInArrow(_compare(percent, every=True), "a long, b long"), "links")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """A row for each document: _id, n and n_links, the number of other rows that it links with, copies among them."""
+    members, linked = pairs(docs, id_col, text_col, width, percent, block, block_shingles)
+    copies = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("_copies"))
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies, both["b"] == copies["node"]).groupBy("a").agg(F.sum("_copies").alias("_others"))
+    counts = copies.join(others, copies["node"] == others["a"], "left").select(F.col("node").alias("_node"), (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
+    out = members.join(counts, members["node"] == counts["_node"], "left")
+    return out.select("_id", "n", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each component stays: that with the smallest id, nulls last.
 

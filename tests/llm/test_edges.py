@@ -139,6 +139,24 @@ def test_ngram_join_near_copies(spark, width, percent, block):
     assert both(ngram_join.components(df, width=width, percent=percent, block=block, block_shingles=10**9)) == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_ngram_links(spark, docs, none, block):
+    """All links, not only those that connect a component; with small blocks too, each once."""
+    base = prose(31, 80).split()
+    near = [" ".join(base[:i] + ["zz"] + base[i + 1 :]) for i in range(0, 80, 9)] + [" ".join(base[:k]) for k in (74, 77, 77, 80)]
+    for rows, df in ((list(enumerate(near)), spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")), ([(i, t) for i, t, *_ in ROWS], docs)):
+        sets = []
+        for _, t in rows:
+            w = re.findall(r"[^ \t\n\r\x0b\x0c]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        linked = [[a != b and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+        want = sorted(((i, len(x), sum(own)) for (i, _), x, own in zip(rows, sets, linked, strict=True)), key=str)
+        assert both(ngram_join.link_counts(df, width=4, percent=85, block=block)) == want
+    members, found = ngram_join.pairs(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"), width=4, percent=85, block=block)
+    assert found.count() == found.select(F.greatest("a", "b"), F.least("a", "b")).distinct().count() > members.select("node").distinct().count()
+    assert ngram_join.link_counts(none).count() == 0
+
+
 @pytest.mark.parametrize("percent", [80, 85, 90])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(percent)
