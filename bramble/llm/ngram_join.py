@@ -17,9 +17,10 @@ shingles they are. They are found by counting all distinct sets, a task's part a
 
 Tiles. Tied nodes form groups. A group of up to `block` nodes and `block_shingles` shingles is a tile; a larger one is cut by
 size band and hash into blocks, and pairs of blocks of the same or neighbouring bands are its tiles. In a tile, nodes are
-sorted by size; for each, the later ones of fitting size that aren't connected with it yet are held against it by the bit count
-of their bitmaps' difference, which bounds the intersection from above, and what is left by the exact intersection. pairs() and
-link_counts() hold connected ones against each other too, so they give all links.
+sorted by size; for each, the later ones of fitting size are held against it by the bit count of their bitmaps' difference,
+which bounds the intersection from above, and what is left by the exact intersection of the sorted arrays. A tile gives the
+components of its nodes and each node's number of links, never the pairs (only pairs() does); where only components are asked
+for, nodes that are connected already aren't held against each other. Components of groups that are one tile are done with that.
 
 Fingerprints of 64 bits stand for shingles and sets: among d sets two different ones count as equal with a chance of d^2 / 2^65.
 
@@ -46,12 +47,14 @@ from .words import mix, windows, words_of
 BAND = 1.41
 SEEDS = 3
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-#: Slot keys that a task holds before it hands them on, and keys for a partition after the shuffle.
-HELD_KEYS, PARTITION_KEYS = 500_000, 1_000_000
+#: Slot keys that a task holds before it hands them on, keys for a part after the shuffle, and partitions, of several parts each if need be.
+HELD_KEYS, PARTITION_KEYS, MOST_PARTITIONS = 500_000, 1_000_000, 20_000
 #: Slot keys that a task holds after the shuffle before it brings each down to one node.
 TIED_KEYS = 4_000_000
-#: Links that a task holds before it hands them on, where all are asked for.
-HELD_LINKS = 100_000
+#: Links that a task holds before it hands them on, where pairs are asked for, and shingles that are intersected at once.
+HELD_LINKS, HELD_SHINGLES = 100_000, 500_000
+#: Groups of more than one tile whose band counts are broadcast; more of them are joined.
+BROADCAST_GROUPS = 20_000
 #: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
 FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
 #: Shingles of a part.
@@ -132,62 +135,57 @@ def slot_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray | None =
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.int64, np.ndarray]]:
-    """A task's nodes and sets, copies left out as far as bounded memory tells."""
-    seen: set = set()
-    for _, texts in text_slices(batches, "_text"):
-        for own in shingle_sets(texts, width):
-            if not len(own):
-                continue
-            node = node_of(own)
-            if node in seen:
-                continue
-            if len(seen) >= 500_000:
-                seen.clear()
-            seen.add(node)
-            yield node, own
+def _new(seen: set, node: int) -> bool:
+    """Whether a task meets a node for the first time, as far as bounded memory tells."""
+    if node in seen:
+        return False
+    if len(seen) >= 500_000:
+        seen.clear()
+    seen.add(node)
+    return True
 
 
-def _count_shingles(width: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list) -> pa.RecordBatch:
+def _read(width: int):
+    """A row for each text, and beside them, of each part of a task's distinct sets, in how many sets a shingle is."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["n", "node", "shingle", "sets"], [pa.int64()] * 4
+
+        def counts(held: list, kept: list) -> pa.RecordBatch:
             shingles, n = np.unique(np.concatenate(held), return_counts=True)
             many = n >= FREQUENT_PART
-            return pa.RecordBatch.from_arrays([pa.array(shingles[many].view(np.int64)), pa.array(n[many], pa.int64())], ["shingle", "sets"])
+            blank = [pa.nulls(int(many.sum()), kind) for _, kind in [*kept, *zip(names[:2], kinds[:2], strict=True)]]
+            return pa.RecordBatch.from_arrays([*blank, pa.array(shingles[many].view(np.int64)), pa.array(n[many], pa.int64())], [*(c for c, _ in kept), *names])
 
-        held, size = [], 0
-        for _, own in _distinct(batches, width):
-            held.append(own)
-            size += len(own)
+        seen: set = set()
+        held, size, kept = [], 0, []
+        for piece, texts in text_slices(batches, "_text"):
+            sets = list(shingle_sets(texts, width))
+            nodes = [int(node_of(s)) if len(s) else None for s in sets]
+            kept = [(c, k) for c, k in zip(piece.schema.names, piece.schema.types, strict=True) if c != "_text"]
+            own = [piece.column(piece.schema.get_field_index(c)) for c, _ in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), *(pa.nulls(len(sets), k) for k in kinds[2:])], [*(c for c, _ in kept), *names])
+            for node, x in zip(nodes, sets, strict=True):
+                if node is not None and _new(seen, node):
+                    held.append(x)
+                    size += len(x)
             if size >= PART_SHINGLES:
-                yield out(held)
+                yield counts(held, kept)
                 held, size = [], 0
         if held:
-            yield out(held)
+            yield counts(held, kept)
 
-    return count
+    return read
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted; at most FREQUENT_MOST."""
-    counted = texts.mapInArrow(_count_shingles(width), "shingle long, sets long")
+def frequent_shingles(counted: DataFrame) -> np.ndarray:
+    """Sorted; at most FREQUENT_MOST. counted: shingle and sets, by parts."""
     many = materialize(counted.groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT), "frequent")
     if many.count() > FREQUENT_MOST:
         many = many.orderBy(F.desc("sets"), "shingle").limit(FREQUENT_MOST)
     return np.sort(many.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _name(width: int):
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_slices(batches, "_text"):
-            sets = list(shingle_sets(texts, width))
-            nodes = pa.array([int(node_of(s)) if len(s) else None for s in sets], pa.int64())
-            kept = [c for c in piece.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in kept), pa.array(map(len, sets), pa.int64()), nodes], [*kept, "n", "node"])
-
-    return name
-
-
 def _file(width: int, percent: int, bits: int, frequent: np.ndarray):
     """Packed slot keys and nodes, by partition: the first bits of the key. Each key leaves a buffer once; what else it ties is packed beside."""
 
@@ -205,15 +203,18 @@ def _file(width: int, percent: int, bits: int, frequent: np.ndarray):
                 is_ties.append(True)
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(is_ties), pa.array(packed, pa.binary())], ["p", "ties", "packed"])
 
-        keys, nodes, held = [], [], 0
-        for node, own in _distinct(batches, width):
-            k = slot_keys(own, percent, frequent)
-            keys.append(k)
-            nodes.append(np.full(len(k), node, dtype=np.int64))
-            held += len(k)
-            if held >= HELD_KEYS:
-                yield out(keys, nodes)
-                keys, nodes, held = [], [], 0
+        keys, nodes, held, seen = [], [], 0, set()
+        for _, texts in text_slices(batches, "_text"):
+            for own in shingle_sets(texts, width):
+                if not len(own) or not _new(seen, node := int(node_of(own))):
+                    continue
+                k = slot_keys(own, percent, frequent)
+                keys.append(k)
+                nodes.append(np.full(len(k), node, dtype=np.int64))
+                held += len(k)
+                if held >= HELD_KEYS:
+                    yield out(keys, nodes)
+                    keys, nodes, held = [], [], 0
         if held:
             yield out(keys, nodes)
 
@@ -265,6 +266,10 @@ def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(compact(np.concatenate(keys), np.concatenate(nodes))[2])
 
 
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return graph.contract(_tie(batches))
+
+
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "_text"):
@@ -287,12 +292,6 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _by_size(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    order = np.lexsort((nodes, size))
-    return nodes[order], [sets[i] for i in order], side[order], size[order]
-
-
 def _near(maps: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray, percent: int) -> list[int]:
     """Those of rest whose bitmaps let them link with i."""
     both = size[rest] + size[i]
@@ -301,80 +300,117 @@ def _near(maps: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray, percent:
     return rest[(both - apart) // 2 >= need].tolist()
 
 
-def _link(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    at = np.searchsorted(other, one)
-    at[at == len(other)] = 0
-    common = int((other[at] == one).sum())
-    return 100 * common >= percent * (len(one) + len(other) - common)
-
-
-def links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a tile. side: 0 for a tile of one block, else 1 and 2 for two blocks held against each other."""
-    nodes, sets, side, size = _by_size(nodes, sets, side)
-    maps, label, out = bitmaps(sets), np.arange(len(sets)), []
+def _linked(sets: list[np.ndarray], size: np.ndarray, i: int, near: list[int], percent: int) -> np.ndarray:
+    """Those of near that link with i, by the exact intersections of the sorted arrays."""
+    out, low = [], 0
+    while low < len(near):
+        high, held = low, 0
+        while high < len(near) and (high == low or held + size[near[high]] <= HELD_SHINGLES):
+            held += size[near[high]]
+            high += 1
+        some = np.array(near[low:high])
+        flat = np.concatenate([sets[j] for j in some])
+        at = np.searchsorted(sets[i], flat)
+        at[at == size[i]] = 0
+        common = np.add.reduceat(sets[i][at] == flat, np.cumsum(size[some]) - size[some], dtype=np.int64)
+        out.append(some[100 * common >= percent * (size[i] + size[some] - common)])
+        low = high
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def compared(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percent: int, count: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, roots, links) of the nodes of a tile that link: the smallest node of the component, and with count the copies
+    of the nodes that link with it, else 0. side: 0 for a tile of one block, else 1 and 2 for two blocks held against each other."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    order = np.lexsort((nodes, size))
+    nodes, sets, side, copies, size = nodes[order], [sets[i] for i in order], side[order], copies[order], size[order]
+    maps, label, links = bitmaps(sets), np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    some = np.zeros(len(sets), dtype=bool)
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-        open_ = label[i + 1 : end] != label[i]
+        open_ = np.ones(max(0, end - i - 1), dtype=bool) if count else label[i + 1 : end] != label[i]
         if side[i]:
             open_ &= side[i + 1 : end] != side[i]
         rest = np.flatnonzero(open_) + i + 1
-        if not len(rest):
-            continue
-        for j in _near(maps, size, i, rest, percent):
-            if label[j] != label[i] and _link(sets[i], sets[j], percent):
-                out.append((int(nodes[i]), int(nodes[j])))
-                label[label == label[j]] = label[i]
-    return out
+        near = _near(maps, size, i, rest, percent) if len(rest) else []
+        step = max(1, len(near)) if count else 16  # where only components are asked for, few are intersected before labels are looked at again
+        while near:
+            now, near = near[:step], near[step:]
+            found = _linked(sets, size, i, now, percent)
+            if len(found):
+                links[i] += copies[found].sum()
+                links[found] += copies[i]
+                some[i] = some[found] = True
+                label[np.isin(label, label[found])] = label[i]
+            if not count:
+                near = [j for j in near if label[j] != label[i]]
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    return nodes[some], least[label[some]], links[some] if count else np.zeros(int(some.sum()), dtype=np.int64)
 
 
 def every_link(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """As links(), but all links of a tile, as (links, 2) for one node after the other."""
-    nodes, sets, side, size = _by_size(nodes, sets, side)
+    """All links of a tile, as (links, 2) for one node after the other."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    order = np.lexsort((nodes, size))
+    nodes, sets, side, size = nodes[order], [sets[i] for i in order], side[order], size[order]
     maps = bitmaps(sets)
     for i in range(len(sets) - 1):
         rest = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
         if side[i]:
             rest = rest[side[rest] != side[i]]
-        found = [j for j in _near(maps, size, i, rest, percent) if _link(sets[i], sets[j], percent)]
-        if found:
+        found = _linked(sets, size, i, _near(maps, size, i, rest, percent), percent) if len(rest) else rest
+        if len(found):
             yield np.column_stack((np.full(len(found), nodes[i]), nodes[found]))
 
 
-def _compare(percent: int, every: bool = False):
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(tile, nodes, sets, sides, copies) of each tile of two nodes or more; rows of a tile follow each other."""
+
+    def out(rows: dict) -> tuple:
+        nodes, side, copies = (np.fromiter(x, dtype=np.int64) for x in ((k[0] for k in rows), (k[1] for k in rows), (c for c, _ in rows.values())))
+        return tile, nodes, [s for _, s in rows.values()], side, copies
+
+    tile, rows = None, {}
+    for batch in batches:
+        for t, side, node, copies, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            if t != tile and len(rows) > 1:
+                yield out(rows)
+            if t != tile:
+                tile, rows = t, {}
+            if (node, side) not in rows:  # rows with the same id and text bring it twice
+                rows[node, side] = copies, np.frombuffer(packed.as_buffer(), dtype=np.uint64).copy()
+    if len(rows) > 1:
+        yield out(rows)
+
+
+def _compare(percent: int, count: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(found: np.ndarray) -> pa.RecordBatch:
+        for tile, *own in _by_tile(batches):
+            found = compared(*own, percent, count)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array([":" in tile] * len(found[0]), pa.bool_())], ["node", "root", "links", "part"])
+
+    return compare
+
+
+def _pairs(percent: int):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> pa.RecordBatch:
+            found = np.concatenate(held)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
 
-        def out(rows: dict) -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            tile = np.fromiter((k[0] for k in rows), dtype=np.int64), list(rows.values()), np.fromiter((k[1] for k in rows), dtype=np.int64), percent
-            if not every:
-                yield batch_of(np.array(links(*tile), dtype=np.int64).reshape(-1, 2))
-                return
-            held, size = [], 0
-            for found in every_link(*tile):
+        held, size = [], 0
+        for _, nodes, sets, side, _ in _by_tile(batches):
+            for found in every_link(nodes, sets, side, percent):
                 held.append(found)
                 size += len(found)
                 if size >= HELD_LINKS:
-                    yield batch_of(np.concatenate(held))
+                    yield out(held)
                     held, size = [], 0
-            if held:
-                yield batch_of(np.concatenate(held))
-
-        tile, rows = None, {}
-        for batch in batches:
-            for t, side, node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if t != tile and rows:
-                    yield from out(rows)
-                    rows = {}
-                tile = t
-                if (node, side) not in rows:  # rows with the same id and text bring it twice
-                    rows[node, side] = np.frombuffer(packed.as_buffer(), dtype=np.uint64).copy()
-        if rows:
-            yield from out(rows)
+        if held:
+            yield out(held)
 
-    return compare
+    return pairs
 
 
 def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
@@ -383,9 +419,13 @@ def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) ->
     active = active.withColumn("_band", band)
     counts = active.groupBy("root", "_band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = counts.withColumn("b", F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_shingles)).cast("long"))
-    groups = blocks.groupBy("root").agg(F.sum("c").alias("_c"), F.sum("s").alias("_s"), F.map_from_entries(F.collect_list(F.struct("_band", "b"))).alias("_b")).withColumnRenamed("root", "_root")
-    joined = active.join(groups, active["root"] == groups["_root"]).drop("_root")
-    one = (F.col("_c") <= block) & (F.col("_s") <= block_shingles)
+    groups = blocks.groupBy(F.col("root").alias("_root")).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("_band", "b"))).alias("_b"))
+    groups = groups.where((F.col("c") > block) | (F.col("s") > block_shingles)).select("_root", "_b")
+    # Most groups are one tile and need no counts, so nodes aren't shuffled by group, of which one may hold a third of them.
+    rows = groups.limit(BROADCAST_GROUPS + 1).collect()
+    if len(rows) <= BROADCAST_GROUPS:
+        groups = F.broadcast(active.sparkSession.createDataFrame(rows, groups.schema))
+    joined = active.join(groups, active["root"] == groups["_root"], "left").drop("_root")
     of = lambda b: F.coalesce(F.element_at("_b", b), F.lit(0).cast("long"))
     own = F.pmod(F.xxhash64("node"), of(F.col("_band")))
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
@@ -396,7 +436,7 @@ def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) ->
     up = F.transform(seq(of(above)), lambda o: F.struct(tile(here, own, above, o).alias("tile"), side(1)))
     down = F.transform(seq(of(below)), lambda o: F.struct(tile(below, o, here, own).alias("tile"), side(2)))
     alone = F.array(F.struct(F.col("root").cast("string").alias("tile"), side(0)))
-    return joined.withColumn("_tiles", F.when(one, alone).otherwise(F.concat(within, up, down))).drop("_b", "_c", "_s", "_band")
+    return joined.withColumn("_tiles", F.when(F.col("_b").isNull(), alone).otherwise(F.concat(within, up, down))).drop("_b", "_band")
 
 
 #: A filter of text hashes takes at most 2^27 bits, 16 MB; with more hashes than bits it would let all rows pass and isn't made.
@@ -443,64 +483,62 @@ def _that_may_match(slim: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def _laid(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (_id, _th: the text's hash, n, node), nodes (node, one, n), and the tiles' sets, those of a tile together."""
+    """Documents (_id, _th: the text's hash, n, node), nodes (node, one, n, copies), and the tiles' sets, those of a tile together."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    named = materialize(slim.mapInArrow(_name(width), f"_id {kind}, _th long, n long, node long"), "sets")
+    read = materialize(slim.mapInArrow(_read(width), f"_id {kind}, _th long, n long, node long, shingle long, sets long"), "sets")
+    named = read.where("shingle IS NULL").drop("shingle", "sets")
     one = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_th").alias("th"))).alias("one")
-    nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(one, F.first("n").alias("n")), "nodes")
+    nodes = materialize(named.where("node IS NOT NULL").groupBy("node").agg(one, F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, total * 0.45 / PARTITION_KEYS)))))
-    frequent = frequent_shingles(slim.select("_text"), width)
+    frequent = frequent_shingles(read.where("shingle IS NOT NULL").select("shingle", "sets"))
     filed = slim.select("_text").mapInArrow(_file(width, percent, bits, frequent), "p long, ties boolean, packed binary")
-    tied = filed.repartition(max(1, 1 << bits), "p").sortWithinPartitions("p").mapInArrow(_tie, "a long, b long")
-    ties = graph.components(tied)
-    active = nodes.join(ties, "node").select("root", "node", "n", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th"))
-    active = materialize(_tiles(active, percent, block, block_shingles), "tiles")
+    ties = graph.settled(filed.repartition(min(1 << bits, MOST_PARTITIONS), "p").sortWithinPartitions("p").mapInArrow(_tied, "u long, v long"))
+    active = materialize(nodes.join(ties, "node").select("root", "node", "n", "copies", F.col("one.id").alias("_one"), F.col("one.th").alias("_one_th")), "tied")
     texts = _that_may_match(slim, active.select("_one_th"))
+    laid = _tiles(active, percent, block, block_shingles)
     # A merge join at every size: a broadcast would put two Python steps into one task, with a worker each.
-    with_text = texts.join(active.hint("merge"), texts["_id"].eqNullSafe(active["_one"]) & (texts["_th"] == active["_one_th"])).select("node", "_tiles", "_text")
-    sets = with_text.mapInArrow(_sets(width), "node long, _tiles array<struct<tile:string,side:int>>, shingles binary")
-    laid = sets.select(F.explode("_tiles").alias("t"), "node", "shingles").select("t.tile", "t.side", "node", "shingles")
-    return named, nodes, laid.repartition("tile").sortWithinPartitions("tile")
+    with_text = texts.join(laid.hint("merge"), texts["_id"].eqNullSafe(laid["_one"]) & (texts["_th"] == laid["_one_th"])).select("node", "copies", "_tiles", "_text")
+    sets = with_text.mapInArrow(_sets(width), "node long, copies long, _tiles array<struct<tile:string,side:int>>, shingles binary")
+    by_tile = sets.select(F.explode("_tiles").alias("t"), "node", "copies", "shingles").select("t.tile", "t.side", "node", "copies", "shingles")
+    return named, nodes, by_tile.repartition("tile").sortWithinPartitions("tile")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
-    """_id, _th (the text's hash), n, component, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int, block_shingles: int, count: bool) -> DataFrame:
+    """_id, _th (the text's hash), n, component, n_links, and of non-empty sets first: the id and text hash that come first in the component, ids before nulls."""
     named, nodes, laid = _laid(docs, id_col, text_col, width, percent, block, block_shingles)
-    found = graph.components(laid.mapInArrow(_compare(percent), "a long, b long"))
-    roots = nodes.join(found, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
-    first = roots.groupBy("root").agg(F.min("one").alias("first")).withColumnRenamed("root", "_root")
-    by_node = materialize(roots.join(first, roots["root"] == first["_root"]).select(F.col("node").alias("_node"), "first"), "components")
-    out = named.join(by_node, named["node"] == by_node["_node"], "left")
-    return out.select("_id", "_th", "n", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("first.id")).alias("component"), "first")
+    found = materialize(laid.mapInArrow(_compare(percent, count), "node long, root long, links long, part boolean"), "links")
+    by_node = found.groupBy("node").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
+    parts = found.where("part")
+    if not parts.isEmpty():
+        whole = graph.components(parts, "node", "root").withColumnRenamed("root", "_whole")
+        by_node = by_node.join(whole, "node", "left").select("node", F.coalesce("_whole", "root").alias("root"), "links")
+    # Nodes that are one document and link with nothing need no more.
+    more = nodes.join(by_node, "node", "left").where("copies > 1 OR root IS NOT NULL")
+    more = materialize(more.select("node", "one", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "linked")
+    first = more.groupBy(F.col("root").alias("_root")).agg(F.min("one").alias("first"))
+    known = more.join(first, more["root"] == first["_root"]).select(F.col("node").alias("_node"), "first", "links")
+    out = named.join(known, named["node"] == known["_node"], "left")
+    own = F.when(F.col("node").isNotNull(), F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_th").alias("th")))
+    return out.select("_id", "_th", "n", F.when(F.col("_node").isNull(), F.col("_id")).otherwise(F.col("first.id")).alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", own).alias("first"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """A row for each document: _id, n (the size of its set) and component (the smallest id it is connected with)."""
-    return _components(docs, id_col, text_col, width, percent, block, block_shingles).select("_id", "n", "component")
+    """A row for each document: _id, n (the size of its set), component (the smallest id it is connected with) and n_links,
+    the number of other rows that it links with, copies among them."""
+    return _components(docs, id_col, text_col, width, percent, block, block_shingles, True).select("_id", "n", "component", "n_links")
 
 
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """All links: members (_id, n, node: null for an empty set), a row for each document, and linked (a, b), each pair of linked nodes once.
 
-    Documents of one node are linked too. Every pair that a tile can't rule out is verified, also within a component.
+    Documents of one node are linked too. Their number grows with the square of a group's size: components() counts them without giving them.
     """
     named, _, laid = _laid(docs, id_col, text_col, width, percent, block, block_shingles)
-    return named.select("_id", "n", "node"), materialize(laid.mapInArrow(_compare(percent, every=True), "a long, b long"), "links")
-
-
-def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """A row for each document: _id, n and n_links, the number of other rows that it links with, copies among them."""
-    members, linked = pairs(docs, id_col, text_col, width, percent, block, block_shingles)
-    copies = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("_copies"))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies, both["b"] == copies["node"]).groupBy("a").agg(F.sum("_copies").alias("_others"))
-    counts = copies.join(others, copies["node"] == others["a"], "left").select(F.col("node").alias("_node"), (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
-    out = members.join(counts, members["node"] == counts["_node"], "left")
-    return out.select("_id", "n", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.select("_id", "n", "node"), materialize(laid.mapInArrow(_pairs(percent), "a long, b long"), "links")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -509,7 +547,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with equal id and text one stays; of rows with equal id and other texts in one component, one by the texts' hashes.
     Documents with an empty set all stay.
     """
-    found = materialize(_components(docs, id_col, text_col, width, percent, BLOCK, BLOCK_SHINGLES).where("n > 0").groupBy("_id", "_th", "first").count(), "found")
+    found = materialize(_components(docs, id_col, text_col, width, percent, BLOCK, BLOCK_SHINGLES, False).where("n > 0").groupBy("_id", "_th", "first").count(), "found")
     goes = ~(F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_th") == F.col("first.th")))
     same = lambda rows, keys: rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_th"])
     gone = found.where(goes).select("_id", "_th")

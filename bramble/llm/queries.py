@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.components(_table(spark, sf_dir, "documents"), width=4, percent=85)
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 OP1_SQL = r"""
@@ -25,25 +25,10 @@ s AS (SELECT DISTINCT doc_id, ws[i:i + least(4, len(ws)) - 1] AS k FROM (SELECT
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) AS m ON d.doc_id = m.doc_id
-"""
-
-
-def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.link_counts(_table(spark, sf_dir, "documents"), width=4, percent=85)
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_links")
-
-
-OP1_LINKS_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, ws[i:i + least(4, len(ws)) - 1] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS i FROM d WHERE len(ws) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-e AS (SELECT a, count(*) AS m FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c) GROUP BY a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(e.m, 0) AS BIGINT) AS n_links
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN e ON d.doc_id = e.a
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+l AS (SELECT a, count(*) AS m FROM e GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, CAST(coalesce(l.m, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) AS m ON d.doc_id = m.doc_id LEFT JOIN l ON d.doc_id = l.a
 """
 
 
@@ -178,7 +163,6 @@ FROM f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
-        "op1_ngram_links": op1_ngram_links,
         "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
@@ -194,7 +178,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": OP1_SQL,
-        "op1_ngram_links": OP1_LINKS_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
         "op9_perspectives": OP9_SQL,

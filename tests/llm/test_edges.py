@@ -90,15 +90,18 @@ def brute_components(rows, width, percent):
             i = root[i]
         return i
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(find(i), []).append(rows[i][0])
     least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
-    return sorted(((rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))), key=str)
+    return sorted(((rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0], links[i]) for i in range(len(rows))), key=str)
 
 
 def test_ngram_join(docs, none):
@@ -140,21 +143,50 @@ def test_ngram_join_near_copies(spark, width, percent, block):
 
 
 @pytest.mark.parametrize("block", [2048, 3])
-def test_ngram_links(spark, docs, none, block):
+def test_ngram_pairs(spark, block):
     """All links, not only those that connect a component; with small blocks too, each once."""
     base = prose(31, 80).split()
     near = [" ".join(base[:i] + ["zz"] + base[i + 1 :]) for i in range(0, 80, 9)] + [" ".join(base[:k]) for k in (74, 77, 77, 80)]
-    for rows, df in ((list(enumerate(near)), spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")), ([(i, t) for i, t, *_ in ROWS], docs)):
-        sets = []
-        for _, t in rows:
-            w = re.findall(r"[^ \t\n\r\x0b\x0c]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-            sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
-        linked = [[a != b and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
-        want = sorted(((i, len(x), sum(own)) for (i, _), x, own in zip(rows, sets, linked, strict=True)), key=str)
-        assert both(ngram_join.link_counts(df, width=4, percent=85, block=block)) == want
-    members, found = ngram_join.pairs(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"), width=4, percent=85, block=block)
-    assert found.count() == found.select(F.greatest("a", "b"), F.least("a", "b")).distinct().count() > members.select("node").distinct().count()
-    assert ngram_join.link_counts(none).count() == 0
+    df = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    members, found = ngram_join.pairs(df, width=4, percent=85, block=block)
+    copies = {}
+    for r in members.collect():
+        copies[r["node"]] = copies.get(r["node"], 0) + 1
+    links = [(r["a"], r["b"]) for r in found.collect()]
+    assert len({frozenset(x) for x in links}) == len(links)
+    twice = sum(copies[a] * copies[b] for a, b in links) * 2 + sum(n * (n - 1) for n in copies.values())
+    want = brute_components(list(enumerate(near)), 4, 85)
+    assert twice == sum(n for *_, n in want) and len(links) > len(copies)
+    assert both(ngram_join.components(df, width=4, percent=85, block=block)) == want
+
+
+def test_a_chained_group_of_many_nodes():
+    """20,000 sets tied to one another, of which each links with its neighbours only: every link is found, however the group is cut."""
+    n, step, size = 20_000, 4, 60
+    words = np.unique(np.random.default_rng(1).integers(0, 2**63, n * step + size, dtype=np.uint64))
+    order = np.random.default_rng(2).permutation(len(words))
+    sets = [np.sort(words[order[i * step : i * step + size]]) for i in range(n)]
+    nodes, ones = np.arange(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+    found, compared_pairs, links = [], 0, np.zeros(n, dtype=np.int64)
+    blocks = np.array_split(np.random.default_rng(3).permutation(n), -(-n // ngram_join.BLOCK))
+    for i, x in enumerate(blocks[:3]):  # of the tiles of a group, those of three blocks
+        for j, y in enumerate(blocks[: i + 1]):
+            own = np.concatenate((x, y)) if i != j else x
+            side = np.concatenate((np.ones(len(x), dtype=np.int64), np.full(len(y), 2))) if i != j else np.zeros(len(x), dtype=np.int64)
+            compared_pairs += len(x) * len(y) if i != j else len(x) * (len(x) - 1) // 2
+            some, roots, count = ngram_join.compared(nodes[own], [sets[k] for k in own], side, ones[own], 85, True)
+            np.add.at(links, some, count)
+            found.append((some, roots))
+    held = np.sort(np.concatenate(blocks[:3]))
+    near = np.diff(held) == 1  # of 60 shingles 56 in common: 56 / 64 = 0.875; two apart 52 / 68
+    assert compared_pairs == len(held) * (len(held) - 1) // 2 > 10_000_000
+    want = np.zeros(n, dtype=np.int64)
+    np.add.at(want, held[1:][near], 1)
+    np.add.at(want, held[:-1][near], 1)
+    assert (links == want).all()
+    got = dict(zip(*map(np.ndarray.tolist, graph.forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))), strict=True))
+    first = held[np.maximum.accumulate(np.where(np.concatenate(([True], ~near)), np.arange(len(held)), 0))]
+    assert all(got.get(k, k) == f for k, f in zip(held.tolist(), first.tolist(), strict=True))
 
 
 @pytest.mark.parametrize("percent", [80, 85, 90])
@@ -218,18 +250,33 @@ def test_frequent_shingles_change_no_result(spark, monkeypatch):
     passage = prose(77, 60)
     rows = [(i, f"{prose(500 + i // 3, 40 + i)} {passage}" + " x y z"[: 2 * (i % 3)]) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    assert len(ngram_join.frequent_shingles(df.withColumnRenamed("text", "_text").select("_text"), 5)) >= 56
+    counted = df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).mapInArrow(ngram_join._read(5), "_id long, n long, node long, shingle long, sets long")
+    assert len(ngram_join.frequent_shingles(counted.where("shingle IS NOT NULL"))) >= 56
     assert both(ngram_join.components(df)) == brute_components(rows, 5, 80)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0])
+def test_components_of_graphs(spark, monkeypatch, one_task):
+    """Chains, hubs at either end, copies of edges and loops; by one task and by rounds."""
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, x) for x in range(1001, 1200)] + [(7, 7)]
+    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, x) for x in range(1001, 1200)] + [(3000, x) for x in range(2000, 2200)] + [(7, 7), (1001, 1000), (9000, 9000)]
+    edges += [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(260)]
     edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges]
-    out = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(out[i] == (i - 1) // 50 * 50 + 1 for i in range(1, 300) if (i - 1) // 50 * 50 + 1 != i or True)
-    assert all(out[x] == 1000 for x in range(1000, 1200))
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    out = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7), one_task=one_task).collect()
+    assert sorted((r["node"], r["root"]) for r in out) == sorted((x, find(x)) for x in root)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def test_packing(docs, none):
