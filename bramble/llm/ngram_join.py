@@ -422,9 +422,9 @@ def _tiles(active: DataFrame, percent: int, block: int, block_shingles: int) ->
     groups = blocks.groupBy(F.col("root").alias("_root")).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("_band", "b"))).alias("_b"))
     groups = groups.where((F.col("c") > block) | (F.col("s") > block_shingles)).select("_root", "_b")
     # Most groups are one tile and need no counts, so nodes aren't shuffled by group, of which one may hold a third of them.
-    rows = groups.limit(BROADCAST_GROUPS + 1).collect()
-    if len(rows) <= BROADCAST_GROUPS:
-        groups = F.broadcast(active.sparkSession.createDataFrame(rows, groups.schema))
+    large = groups.limit(BROADCAST_GROUPS + 1).toArrow()
+    if large.num_rows <= BROADCAST_GROUPS:
+        groups = F.broadcast(active.sparkSession.createDataFrame(large, groups.schema))
     joined = active.join(groups, active["root"] == groups["_root"], "left").drop("_root")
     of = lambda b: F.coalesce(F.element_at("_b", b), F.lit(0).cast("long"))
     own = F.pmod(F.xxhash64("node"), of(F.col("_band")))
