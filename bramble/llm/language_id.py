@@ -28,6 +28,8 @@ from .words import mix
 
 BITS = 15
 ORDERS = (1, 2, 3)
+#: Characters of a text that are worked on at once.
+LONG = 1 << 20
 #: The bound on documents that the classifier is fitted to; all of them are counted for the document frequencies.
 SAMPLE_ROWS = 4000
 UNKNOWN = "und"
@@ -38,8 +40,47 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
+def _hashed(code: np.ndarray, n: int) -> np.ndarray:
+    """The buckets of all runs of n signs."""
+    h = np.full(max(0, len(code) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x100000001B3) + code[i : i + len(h)]
+    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _features_of_long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """As features() of one text, chunk by chunk: temporary arrays don't grow with it."""
+    counts, kept, before, seen = np.zeros(1 << BITS, dtype=np.int64), np.array([0x20], dtype=np.uint64), False, 0
+    for at in range(0, len(text) + 1, LONG):
+        part = text[at : at + LONG]
+        part += " " if at + LONG > len(text) else ""
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[code]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= before
+        before = bool(letter[-1])
+        new = np.where(letter, code, 0x20)[keep].astype(np.uint64)
+        seen += int(letter.sum())
+        code = np.concatenate((kept, new))
+        for n in ORDERS:
+            h = _hashed(code, n)
+            counts += np.bincount(h[max(0, len(kept) - n + 1) :], minlength=1 << BITS)
+        kept = code[-(max(ORDERS) - 1) :]
+    if not seen:
+        counts[:] = 0
+    else:
+        counts[_hashed(np.array([0x20], dtype=np.uint64), 1)] += 1  # the blank in front
+    some = np.flatnonzero(counts)
+    return some, counts[some]
+
+
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text the buckets of its n-grams, ascending, and their counts."""
+    if any(t and len(t) > LONG for t in texts):
+        for t in texts:
+            yield _features_of_long(t.lower()) if t and len(t) > LONG else next(features([t]))
+        return
     lowered = [" " + t.lower() + " " if t else " " for t in texts]
     sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -51,12 +92,7 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     code = np.where(letter, code, 0x20)[keep].astype(np.uint64)
     begin = np.cumsum(keep)[np.cumsum(sizes) - sizes] - 1
     bounds = np.append(begin, len(code))
-    hashed = []
-    for n in ORDERS:
-        h = np.full(max(0, len(code) - n + 1), n, dtype=np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x100000001B3) + code[i : i + len(h)]
-        hashed.append((mix(h) >> np.uint64(64 - BITS)).astype(np.int64))
+    hashed = [_hashed(code, n) for n in ORDERS]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         counts = np.bincount(np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(ORDERS, hashed, strict=True)]), minlength=1 << BITS) if b - a > 1 else np.zeros(1, dtype=np.int64)
         some = np.flatnonzero(counts)

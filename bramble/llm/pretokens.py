@@ -143,6 +143,9 @@ class Memo:
         self.count = np.insert(self.count, at, count.astype(np.int32))
 
 
+#: Characters of a text that are worked on at once.
+LONG = 1 << 20
+_CUT = re.compile("[A-Za-z] (?=[A-Za-z])")
 #: Distinct pre-tokens handed to `make` at once.
 MAKE = 20_000
 
@@ -212,8 +215,41 @@ class Pretokens:
             place[k], count[k] = -1 - special, 1
         return count, place, bounds, self.memo.flat
 
+    def parts(self, text: str) -> Iterator[str]:
+        """Pieces of a long text whose pre-tokens are, one after another, the text's: cut before a blank between ASCII letters, off any special string."""
+        at = 0
+        while len(text) - at > LONG:
+            end = None
+            for found in _CUT.finditer(text, at + LONG):
+                i = found.start() + 1
+                if all(text.find(x, max(0, i - len(x)), i + 1 + len(x)) < 0 for x in self.specials):
+                    end = i
+                    break
+            if end is None:
+                break
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """The number of integers of each text."""
+        if any(t and len(t) > LONG for t in texts):
+            return np.array([sum(int(self._counts([x])[0]) for x in self.parts(t or "")) for t in texts], dtype=np.int64)
+        return self._counts(texts)
+
+    def _counts(self, texts: list[str | None]) -> np.ndarray:
+        count, _, bounds, _ = self.rows(texts)
+        total = np.concatenate(([0], np.cumsum(count)))
+        return total[bounds[1:]] - total[bounds[:-1]]
+
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All integers of all texts, and the offsets of each text's."""
+        if any(t and len(t) > LONG for t in texts):
+            rows = [np.concatenate([self._ids([x])[0] for x in self.parts(t or "")]) for t in texts]
+            return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+        return self._ids(texts)
+
+    def _ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         count, place, bounds, flat = self.rows(texts)
         if not len(count):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)

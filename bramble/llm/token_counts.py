@@ -122,9 +122,7 @@ def counter(path: str) -> Pretokens:
 
 def count_tokens(path: str, texts: list[str | None]) -> np.ndarray:
     """The number of tokens of each text."""
-    count, _, bounds, _ = counter(path).rows(texts)
-    total = np.concatenate(([0], np.cumsum(count)))
-    return total[bounds[1:]] - total[bounds[:-1]]
+    return counter(path).counts(texts)
 
 
 def _count(path: str):

@@ -11,6 +11,7 @@ import numpy as np
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD1B54A32D192ED03)
 _POWERS = np.multiply.accumulate(np.full(64, _BASE, dtype=np.uint64))
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -42,8 +43,11 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, fingerprints) of the words in a byte buffer."""
+#: Bytes of a buffer that are worked on at once: temporary arrays take about 60 times this, however long a text or a word is.
+CHUNK = 1 << 20
+
+
+def _fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = kind[buffer]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
@@ -56,7 +60,40 @@ def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.
     values = _BYTE[_LOWER[own] if lower else own]
     values *= _powers(int(length.max()))[place]
     h = np.add.reduceat(values, first)
-    return starts, ends, mix(h + length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return starts, ends, mix(h + length.astype(np.uint64) * _LENGTH)
+
+
+def _one_word(word: np.ndarray, lower: bool) -> np.ndarray:
+    """The fingerprint of a word of any length, by its sums over chunks."""
+    total, powers = 0, _powers(CHUNK)[:CHUNK]
+    for at in range(0, len(word), CHUNK):
+        own = word[at : at + CHUNK]
+        values = _BYTE[_LOWER[own] if lower else own] * powers[: len(own)]
+        total += int(values.sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return mix(np.array([(total + len(word) * int(_LENGTH)) % (1 << 64)], dtype=np.uint64))
+
+
+def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, fingerprints) of the words in a byte buffer, chunk by chunk."""
+    if len(buffer) <= 2 * CHUNK:
+        return _fingerprints(buffer, kind, lower)
+    parts, at, n = [], 0, len(buffer)
+    while at < n:
+        end = min(at + CHUNK, n)
+        inner = end
+        while end < n and not len(gap := np.flatnonzero(~kind[buffer[end : end + CHUNK]])):
+            end = min(end + CHUNK, n)
+        if end < n:
+            end += int(gap[0])
+        if end - inner > CHUNK:  # the last word is a long one
+            gaps = np.flatnonzero(~kind[buffer[at:inner]])
+            inner = at + (int(gaps[-1]) + 1 if len(gaps) else 0)
+            own = [_fingerprints(buffer[at:inner], kind, lower), (np.array([inner - at]), np.array([end - at]), _one_word(buffer[inner:end], lower))]
+        else:
+            own = [_fingerprints(buffer[at:end], kind, lower)]
+        parts += [(starts + at, ends + at, h) for starts, ends, h in own]
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def words_of(texts: list[str | None], kind: np.ndarray = PLAIN, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("bramble.llm")
-from bramble.llm import decontamination, graph, language_id, ngram_join, packing, perspectives, pii, quality_rules, token_counts, token_files, tokens, warc  # noqa: E402
+from bramble.llm import decontamination, graph, language_id, ngram_join, packing, perspectives, pii, quality_rules, token_counts, token_files, tokens, warc, words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, _host string, node long, n long, tile string, _spans string, _gone long, _bad_host string, piece string, _group int"
 CLASH = ("id", "text", "host", 1, 2, "tile", "spans", 3, "bad", "piece", 4)
@@ -279,6 +279,24 @@ def test_components_of_graphs(spark, monkeypatch, one_task):
     assert graph.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
+def test_long_texts_in_chunks(monkeypatch):
+    """Kernels that work on a text chunk by chunk give what they give on the whole, also for words longer than a chunk."""
+    rng = random.Random(1)
+    text = "".join(rng.choices("ab cdé😀 \n1Z", k=6000)) + "x" * 700 + " end\t" + "y" * 90 + " aΣ bΣ"
+    texts = [text, "a b", None, text[:300], ""]
+    for kind in (words.PLAIN, words.ALPHA):
+        whole = words.words_of(texts, kind, lower=True)
+        for chunk in (16, 100):
+            monkeypatch.setattr(words, "CHUNK", chunk)
+            assert all((a == b).all() for a, b in zip(whole, words.words_of(texts, kind, lower=True), strict=True))
+        monkeypatch.undo()
+    texts += ["123 . ", " abc", "abc1", "é", "1" * 9 + "a" * 9 + "b"]
+    whole = list(language_id.features(texts))
+    for long in (3, 7, 100):
+        monkeypatch.setattr(language_id, "LONG", long)
+        assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(whole, language_id.features(texts), strict=True))
+
+
 def test_packing(docs, none):
     path = tokens.default_path("byte_bpe_50k.json")
     library = tokens._library(path)

@@ -70,3 +70,21 @@ def test_many_special_strings():
     path = tokens.default_path("byte_bpe_50k.json")
     special = next(iter(tokens.encoder(path).specials))
     same(path, [special, f"a{special}{special} b", special[:-1] + special, f"x {special}" * 30_000])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_in_parts(monkeypatch, name):
+    """Texts that are worked on piece by piece give the ids of the whole."""
+    import public_tokenizers
+
+    from bramble.llm import pretokens, token_counts
+
+    path = str(public_tokenizers.path(name))
+    hard = [(" ".join(x for x in HARD if x) + " plain words it's here ") * 3, "no cut" * 50, "日本語" * 60, "a b" * 100, None]
+    whole = [tokens._library(path).encode(t or "", add_special_tokens=False).ids for t in hard]
+    for long in (20, 100):
+        monkeypatch.setattr(pretokens, "LONG", long)
+        ids, bounds = tokens.encode(path, hard)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole
+        if name.startswith("byte"):
+            assert token_counts.count_tokens(path, hard).tolist() == [len(x) for x in whole]
