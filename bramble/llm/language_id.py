@@ -1,10 +1,12 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams (1 to 3) of the lower-cased letters, with one blank for whatever lies between letters. Document
-frequencies cover all training documents; the classifier is fitted to a stratified sample of about `sample_rows` of them with
-follow-the-regularised-leader steps and L1 and L2 penalties; a fifth of the sample is kept back to fit the temperature by which
-the scores are divided. Of each language that has a document with letters at least one is fitted to, however large or small
-the language's share is. Prediction reads each whole text once; there is no shuffle but of counts.
+frequencies cover all training documents; the classifier is fitted to a stratified sample of them with follow-the-regularised-
+leader steps and L1 and L2 penalties. The sample is drawn by hash, equal rows once, `sample_rows` at most over all languages
+(one at least of each language that has a document with letters, however large or small its share is) and `SAMPLE_BYTES` of
+features. A fifth of it is kept back to fit the temperature by which the scores are divided: to the kept-back texts and short
+snippets of them, which can be wrong, with a prior that keeps it off the ends of the search. Prediction reads each whole text
+once; there is no shuffle but of counts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without training documents all are; a null id
 isn't held out and isn't learned from; a null language is predicted but not learned from; repeated rows are predicted each
@@ -20,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import text_slices
@@ -32,6 +34,10 @@ ORDERS = (1, 2, 3)
 LONG = 1 << 20
 #: The bound on documents that the classifier is fitted to; all of them are counted for the document frequencies.
 SAMPLE_ROWS = 4000
+#: The bound on the features of the sample, 6 bytes for each n-gram of a document; each language's first document is taken whatever its size.
+SAMPLE_BYTES = 256 << 20
+#: Characters of the snippets of kept-back texts, and the spread of the prior of the temperature's logarithm.
+SNIPPETS, PRIOR = (12, 25, 50, 100), 1.5
 UNKNOWN = "und"
 
 
@@ -130,17 +136,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, alpha: f
 
 
 def temperature(scores: np.ndarray, classes: np.ndarray) -> float:
-    """The divisor of the scores with the smallest log loss, by golden-section search of its logarithm."""
+    """The divisor of the scores with the smallest log loss and penalty of its logarithm, by golden-section search."""
     if not len(scores):
         return 1.0
-    loss = lambda t: -np.log(np.maximum(_softmax(scores / np.exp(t))[np.arange(len(classes)), classes], 1e-12)).mean()
-    low, high, ratio = -4.0, 3.0, (np.sqrt(5) - 1) / 2
-    for _ in range(40):
+    row = np.arange(len(classes))
+    loss = lambda t: -np.log(np.maximum(_softmax(scores / np.exp(t))[row, classes], 1e-300)).sum() + t * t / (2 * PRIOR * PRIOR)
+    low, high, ratio = -5.0, 5.0, (np.sqrt(5) - 1) / 2
+    for _ in range(50):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
 
 
+def snippets(text: str, seed: int) -> list[str]:
+    """Pieces of a text from its middle, at places that depend on the seed, each with a letter."""
+    out = []
+    for i, size in enumerate(SNIPPETS):
+        if len(text) > 2 * size:
+            at = (seed + i * 7919) % (len(text) - size)
+            piece = text[at : at + size]
+            if any(c.isalpha() for c in piece):
+                out.append(piece)
+    return out
+
+
 def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, langs, least, any_row = np.zeros(1 << BITS, dtype=np.int64), {}, {}, False
     for piece, texts in text_slices(batches, "_text"):
@@ -160,19 +179,28 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _train(idf: np.ndarray, langs: list[str]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(langs)}
-        rows = []
+        rows, back, first, held = [], [], set(), 0
         for piece, texts in text_slices(batches, "_text"):
             own = piece.column(piece.schema.get_field_index("_lang")).to_pylist()
-            rows += [(b, weigh(b, c, idf), number[k]) for k, (b, c) in zip(own, features(texts), strict=True) if len(b)]
-        first = {}
-        for i, (*_, k) in enumerate(rows):
-            first.setdefault(k, i)
-        kept = [i % 5 == 4 and first[k] != i for i, (*_, k) in enumerate(rows)]  # a language's first row is fitted to
-        back = [r for r, b in zip(rows, kept, strict=True) if b]
-        weights = fit([r for r, b in zip(rows, kept, strict=True) if not b], len(langs))
-        scores = np.array([x @ weights[b] for b, x, _ in back]).reshape(len(back), len(langs))
+            for lang, text, (b, c) in zip(own, texts, features(texts), strict=True):
+                k, size = number[lang], 6 * len(b)
+                if not size or (held + size > SAMPLE_BYTES and k in first):
+                    continue
+                held += size
+                example = b.astype(np.uint16), weigh(b, c, idf).astype(np.float32), k
+                if k in first and (len(rows) + len(back)) % 5 == 4:  # a language's first row is fitted to
+                    back.append((*example, text))
+                else:
+                    rows.append(example)
+                first.add(k)
+        weights = fit(rows, len(langs))
+        scores, classes = [], []
+        for i, (b, x, k, text) in enumerate(back):
+            pieces = [(b, x), *((s, weigh(s, c, idf)) for s, c in features(snippets(text, i * 104729)))]
+            scores += [v @ weights[s] for s, v in pieces]
+            classes += [k] * len(pieces)
         out = io.BytesIO()
-        np.savez_compressed(out, weights=weights.astype(np.float32), temperature=temperature(scores, np.array([k for *_, k in back], dtype=int)))
+        np.savez_compressed(out, weights=weights.astype(np.float32), temperature=temperature(np.array(scores).reshape(-1, len(langs)), np.array(classes, dtype=int)))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     return train
@@ -202,9 +230,17 @@ def _limit(n: int, quota: int, least: int | None) -> int:
     return max(share, -(1 << 63) if least is None else least)
 
 
+def _sample(rows: DataFrame, langs: dict[str, int], least: dict[str, int | None], quota: int) -> DataFrame:
+    """At most quota rows of each language, and that of the least hash with letters; equal rows hash alike and are taken once, before any shuffle."""
+    of = lambda own: F.create_map(*(F.lit(x).cast(kind) for k in langs for x, kind in ((k, "string"), (own(k), "long"))))[F.col("_lang")]
+    drawn = rows.where(F.col("_hash") <= of(lambda k: _limit(langs[k], quota, least[k]))).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    return drawn.withColumn("_place", place).where((F.col("_place") <= quota) | (F.col("_hash") == of(least.get))).drop("_place")
+
+
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows for which `learn` is true and the language isn't null."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_hash"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_hash"))
     counted = rows.select("_lang", "_text", "_hash").mapInArrow(_count_documents, "bucket long, lang string, n long, least long")
     found = counted.groupBy("bucket", "lang").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()  # a row for each bucket and language
     langs = {r["lang"]: r["n"] for r in found if r["lang"] is not None}
@@ -218,9 +254,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     if not names:
         return Model([], idf, np.zeros((1 << BITS, 0)), 1.0)
     quota = max(1, sample_rows // len(names))
-    limit = F.create_map(*(F.lit(x).cast(kind) for k, n in langs.items() for x, kind in ((k, "string"), (_limit(n, quota, least[k]), "long"))))
-    sample = rows.where(F.col("_hash") <= limit[F.col("_lang")])
-    one = sample.repartition(1).sortWithinPartitions("_hash", "_id", "_lang")
+    one = _sample(rows, langs, least, quota).repartition(1).sortWithinPartitions("_hash", "_lang")
     with np.load(io.BytesIO(one.mapInArrow(_train(idf, names), "model binary").first()["model"])) as told:
         return Model(names, idf, told["weights"].astype(np.float64), float(told["temperature"]))
 

@@ -402,6 +402,100 @@ def test_language_id_sample_of_a_large_language():
     assert language_id._limit(10**12, 1, 5) == 5
 
 
+def test_language_id_sample_of_equal_rows(spark):
+    """A row that is repeated many times is sampled once, and no language gets more than its quota."""
+    same = spark.range(200_000).select(F.lit("en").alias("_lang"), F.lit("one text in many copies").alias("_text"), F.lit(5).cast("long").alias("_hash"))
+    other = spark.range(30_000).select(F.lit("de").alias("_lang"), F.concat(F.lit("ein text "), F.col("id")).alias("_text"), F.xxhash64("id").alias("_hash"))
+    found = language_id._sample(same.union(other), {"en": 200_000, "de": 30_000}, {"en": 5, "de": None}, 50).groupBy("_lang").count().collect()
+    count = {r["_lang"]: r["count"] for r in found}
+    assert count["en"] == 1 and 25 <= count["de"] <= 50
+
+
+def mixed(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 % 2**64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def test_language_id_features():
+    """N-grams of letters with one blank between runs, counted by brute force."""
+    for text in ("Ab, c1d\n ÉÉ  e", "  x", "a", "...", "1a2b", "ΑΣ ΑΣΑ"):
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        signs = " " + "".join(r + " " for r in runs)
+        want = {}
+        for n in (1, 2, 3):
+            for i in range(len(signs) - n + 1 if runs else 0):
+                h = n
+                for c in signs[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                bucket = mixed(h) >> (64 - language_id.BITS)
+                want[bucket] = want.get(bucket, 0) + 1
+        (buckets, counts), idf = next(language_id.features([text])), np.linspace(1, 3, 1 << language_id.BITS)
+        assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == want, text
+        if want:
+            raw = {k: (1 + np.log(c)) * idf[k] for k, c in want.items()}
+            norm = sum(x * x for x in raw.values()) ** 0.5
+            assert np.allclose(language_id.weigh(buckets, counts, idf), [raw[k] / norm for k in sorted(raw)])
+
+
+def test_language_id_fit_by_brute_force():
+    """The regularised leader, one weight after the other."""
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(25)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0)) <= l1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * l1) / ((beta + n[key] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            at, x, k = rows[i]
+            score = [sum(v * weight((b, c)) for b, v in zip(at, x, strict=True)) for c in range(3)]
+            e = np.exp(score)
+            now = {(b, c): weight((b, c)) for b in at for c in range(3)}
+            for b, v in zip(at, x, strict=True):
+                for c in range(3):
+                    g = v * (e[c] / e.sum() - (c == k))
+                    before = n.get((b, c), 0.0)
+                    n[b, c] = before + g * g
+                    z[b, c] = z.get((b, c), 0.0) + g - (n[b, c] ** 0.5 - before**0.5) / alpha * now[b, c]
+    got = language_id.fit(rows, 3, alpha, beta, l1, l2, epochs=2)
+    want = np.array([[weight((b, c)) if (b, c) in z else 0.0 for c in range(3)] for b in range(12)])
+    assert np.allclose(got[:12], want) and not got[12:].any() and (want == 0).sum() < 36
+
+
+def test_language_id_temperature():
+    """The best of a fine grid, and off the ends of the search where every score is right."""
+    rng = np.random.default_rng(4)
+    scores, classes = rng.normal(size=(200, 3)), rng.integers(0, 3, 200)
+    scores[np.arange(200), classes] += 1.5
+    grid = np.linspace(-5, 5, 4001)
+    loss = [-np.log(language_id._softmax(scores / np.exp(t))[np.arange(200), classes]).sum() + t * t / (2 * language_id.PRIOR**2) for t in grid]
+    assert abs(np.log(language_id.temperature(scores, classes)) - grid[int(np.argmin(loss))]) < 5e-3
+    right = np.full((500, 2), -1.0)
+    right[:, 0] = 1
+    assert abs(np.log(language_id.temperature(right, np.zeros(500, dtype=int)))) < 4.5
+
+
+def test_language_id_scores_are_calibrated(spark, sf_small):
+    """Of held-out snippets with a score near p, about p are right: they are short enough to be wrong."""
+    df = spark.read.parquet(f"{sf_small}/../sf0.01/documents.parquet")
+    model = language_id.train(df, ~language_id.held_out())
+    rows = [(piece, r["lang"]) for i, r in enumerate(df.where(language_id.held_out()).select("text", "lang").collect()) for piece in language_id.snippets(r["text"], i * 31)]
+    langs, scores = model.predict([t for t, _ in rows])
+    scores, right = np.array(scores), np.array([a == b for a, (_, b) in zip(langs, rows, strict=True)])
+    bins = np.minimum((scores * 10).astype(int), 9)
+    error = sum(abs(scores[bins == k].mean() - right[bins == k].mean()) * (bins == k).mean() for k in np.unique(bins))
+    print(f"expected calibration error {error:.4f}, mean score {scores.mean():.4f}, right {right.mean():.4f}, temperature {model.temperature:.4f}")
+    assert len(rows) > 500 and error < 0.05 and -4.5 < np.log(model.temperature) < 4.5
+
+
 def test_language_id_accuracy(spark, sf_small):
     df = spark.read.parquet(f"{sf_small}/documents.parquet")
     out = language_id.identify(df).join(df.withColumnRenamed("doc_id", "_id").select("_id", "lang"), "_id").where("held_out").collect()
