@@ -8,7 +8,9 @@ a first pass over the documents counts in how many of them each item shingle occ
 rarest shingle. A second pass looks up the documents' shingles; the place of a match within the window gives the place of
 the window, which must lie inside the document (length and position), and all its words are then compared.
 
-The items' index is broadcast in blocks of at most `block_windows` windows; more items mean more passes over the documents.
+Windows are made and told apart in Spark and dealt by hash into blocks of about `block_windows`; the driver holds one block at
+a time, whose index is broadcast, and more items mean more passes over the documents. What the blocks find is put together
+before anything is decided, so no result depends on their size.
 
 Defined cases: null texts have no words; an item without words has no window; items with a null id mark words as hit but
 aren't counted among the items; repeated items count once; repeated documents give repeated rows; an empty benchmark hits
@@ -65,28 +67,43 @@ def _found(values: np.ndarray, keys: np.ndarray, hint: np.ndarray) -> tuple[np.n
     return at[good], number[good]
 
 
-def item_windows(items: list[tuple[object, str | None]], width: int) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
-    """By window length: the distinct windows as rows of word fingerprints, and the ids of the items of each."""
-    h, bounds = words_of([text for _, text in items], ALPHA, lower=True)
-    by_size: dict[int, dict[bytes, set]] = {}
-    for (item, _), start, end in zip(items, bounds[:-1], bounds[1:], strict=True):
-        size = min(width, end - start)
-        for i in range(start, end - size + 1 if size else start):
-            by_size.setdefault(int(size), {}).setdefault(h[i : i + size].tobytes(), set()).add(item)
-    return {
-        size: (np.frombuffer(b"".join(own), dtype=np.uint64).reshape(-1, size), [sorted(str(x) for x in ids if x is not None) for ids in own.values()])
-        for size, own in by_size.items()
-    }
-
-
-def _blocks(by_size: dict[int, tuple[np.ndarray, list[list[str]]]], most: int) -> list[list[tuple[int, np.ndarray, list[list[str]]]]]:
-    pieces = [(size, words[i : i + most], items[i : i + most]) for size, (words, items) in by_size.items() for i in range(0, len(words), most)]
-    out: list[list] = []
-    for piece in pieces:
-        if out and sum(len(x[1]) for x in out[-1]) + len(piece[1]) <= most:
-            out[-1].append(piece)
-        else:
-            out.append([piece])
+def _item_windows(width: int):
+    """Each window of each item: its length, its words' fingerprints and the item's id as text."""
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in text_slices(batches, "_text"):
+            h, bounds = words_of(texts, ALPHA, lower=True)
+            ids = piece.column(piece.schema.get_field_index("_item")).to_pylist()
+            for item, start, end in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                size = min(width, end - start)
+                if not size:
+                    continue
+                own = {h[i : i + size].tobytes() for i in range(start, end - size + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(own), pa.int32()), pa.array(sorted(own), pa.binary()), pa.array([item] * len(own), pa.string())], ["size", "words", "item"])
+
+    return item_windows
+
+
+def benchmark_windows(benchmark: DataFrame, width: int, item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, int]:
+    """The distinct windows (size, words, items: the ids that have it, block), written once, and the number of blocks."""
+    slim = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text_col).alias("_text"))
+    every = slim.mapInArrow(_item_windows(width), "size int, words binary, item string")
+    told = materialize(every.groupBy("size", "words").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
+    blocks = -(-told.count() // block_windows)
+    return told.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, blocks)))), blocks
+
+
+Block = list[tuple[int, np.ndarray, list[list[str]]]]
+
+
+def _block(told: DataFrame, number: int) -> Block:
+    """A block's windows by length: rows of word fingerprints, and the ids of the items of each."""
+    own = told.where(F.col("block") == number).select("size", "words", "items").toArrow()
+    size = own.column("size").to_numpy()
+    out = []
+    for k in np.unique(size).tolist():
+        some = own.filter(pa.array(size == k)).sort_by("words")
+        out.append((k, np.frombuffer(b"".join(some.column("words").to_pylist()), dtype=np.uint64).reshape(-1, k), some.column("items").to_pylist()))
     return out
 
 
@@ -118,7 +135,7 @@ def _count(vocabularies: dict[int, np.ndarray], text_col: str):
     return count
 
 
-def _index(block: list[tuple[int, np.ndarray, list[list[str]]]], rarity: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[Index]:
+def _index(block: Block, rarity: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[Index]:
     out = []
     for size, words, items in block:
         k = min(SHINGLE, size)
@@ -190,13 +207,7 @@ def _search(indexes: list[Index], text_col: str):
     return search
 
 
-def _windows_of(benchmark: DataFrame, width: int, item_col: str, item_text_col: str, block_windows: int) -> list[list[tuple[int, np.ndarray, list[list[str]]]]]:
-    """Blocks of windows. The benchmark is a query set: it passes the driver once, and each block is held against all documents."""
-    items = [tuple(r) for r in benchmark.select(F.col(item_col), F.col(item_text_col)).toLocalIterator()]
-    return _blocks(item_windows(items, width), block_windows)
-
-
-def _indexed(docs: DataFrame, text_col: str, block: list[tuple[int, np.ndarray, list[list[str]]]]) -> list[Index]:
+def _indexed(docs: DataFrame, text_col: str, block: Block) -> list[Index]:
     """Order the shingles of a block by their rarity in all documents, and file its windows."""
     vocabularies: dict[int, list[np.ndarray]] = {}
     for size, words, _ in block:
@@ -225,24 +236,35 @@ def find(
 ) -> DataFrame:
     """A row for each document: _id, n_words, starts and ends of the hit runs (word numbers, ends exclusive), items (sorted ids as text)."""
     kind = dict(docs.dtypes)[id_col]
-    rest = "n_words long, starts array<long>, ends array<long>, items array<string>"
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    blocks = _windows_of(benchmark, width, item_col, item_text_col, block_windows)
-    if len(blocks) < 2:
-        return slim.mapInArrow(_search(_indexed(docs, text_col, blocks[0]) if blocks else [], "_text"), f"_id {kind}, {rest}")
+    told, blocks = benchmark_windows(benchmark, width, item_col, item_text_col, block_windows)
+    if blocks < 2:
+        return slim.mapInArrow(_search(_indexed(docs, text_col, _block(told, 0)) if blocks else [], "_text"), f"_id {kind}, {_FOUND}")
     # Several passes: rows are told apart by their numbers in a table written once.
-    keyed = materialize(slim.select(F.struct("_id", F.monotonically_increasing_id().alias("_row")).alias("_id"), "_text"), "numbered")
-    passes = None
-    for block in blocks:
-        one = keyed.mapInArrow(_search(_indexed(keyed, "_text", block), "_text"), f"_id struct<_id:{kind},_row:long>, {rest}")
+    keyed = materialize(slim.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return keyed.select("_id", "_row").join(_together(keyed, told, blocks), "_row").drop("_row")
+
+
+_FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>"
+
+
+def _together(keyed: DataFrame, told: DataFrame, blocks: int) -> DataFrame:
+    """What all blocks find in each row of keyed (_row, _text): _row, n_words, starts, ends, items."""
+    rows, passes = keyed.select(F.col("_row").alias("_id"), "_text"), None
+    for number in range(blocks):
+        one = materialize(rows.mapInArrow(_search(_indexed(rows, "_text", _block(told, number)), "_text"), f"_id long, {_FOUND}").where((F.size("starts") > 0) | F.lit(number == 0)), "hits")
         passes = one if passes is None else passes.unionByName(one)
-    runs = passes.groupBy("_id", "n_words").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    runs = passes.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    run = "array<struct<starts:long,ends:long>>"
     merged = F.aggregate(
         F.array_sort("runs"),
-        F.array().cast("array<struct<starts:long,ends:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
+        F.struct(F.array().cast(run).alias("done"), F.array().cast(run).alias("open")),
+        lambda acc, x: F.when((F.size(acc["open"]) > 0) & (acc["open"][0]["ends"] >= x["starts"]), F.struct(acc["done"].alias("done"), F.array(F.struct(acc["open"][0]["starts"].alias("starts"), F.greatest(acc["open"][0]["ends"], x["ends"]).alias("ends"))).alias("open"))).otherwise(
+            F.struct(F.concat(acc["done"], acc["open"]).alias("done"), F.array(x).alias("open"))
+        ),
+        lambda acc: F.concat(acc["done"], acc["open"]),
     )
-    return runs.withColumn("m", merged).select(F.col("_id._id").alias("_id"), "n_words", F.col("m.starts").alias("starts"), F.col("m.ends").alias("ends"), "items")
+    return runs.withColumn("m", merged).select(F.col("_id").alias("_row"), "n_words", F.col("m.starts").alias("starts"), F.col("m.ends").alias("ends"), "items")
 
 
 def _keep(indexes: list[Index], text_col: str, max_hit_percent: float):
@@ -262,11 +284,21 @@ def _keep(indexes: list[Index], text_col: str, max_hit_percent: float):
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_hit_percent: float = 0.0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs, with all their columns, whose hit words are at most max_hit_percent of their words. No shuffle of texts.
+    """The rows of docs, with all their columns, whose words hit by any item are at most max_hit_percent of their words.
 
-    With several blocks, the percentage holds for each block of the benchmark by itself.
+    With one block, no text is shuffled; with several, rows are numbered and those that go are taken out by number.
     """
-    out = docs
-    for block in _windows_of(benchmark, width, item_col, item_text_col, block_windows):
-        out = out.mapInArrow(_keep(_indexed(docs, text_col, block), text_col, max_hit_percent), docs.schema)
-    return out
+    told, blocks = benchmark_windows(benchmark, width, item_col, item_text_col, block_windows)
+    if not blocks:
+        return docs
+    if blocks == 1:
+        return docs.mapInArrow(_keep(_indexed(docs, text_col, _block(told, 0)), text_col, max_hit_percent), docs.schema)
+    number = "_row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    keyed = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = _together(keyed.select(F.col(number).alias("_row"), F.col(text_col).alias("_text")), told, blocks)
+    add = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
+    hit = found.select(F.col("_row").alias("_gone"), "n_words", (add("ends") - add("starts")).alias("_hit"))
+    gone = hit.where((F.col("_hit") > 0) & (100 * F.col("_hit") > F.lit(float(max_hit_percent)) * F.col("n_words"))).select("_gone")
+    return keyed.join(gone, keyed[number] == gone["_gone"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -529,6 +529,18 @@ def test_decontamination(spark, docs, none):
     assert all(not r["starts"] for r in decontamination.find(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_percent_of_all_blocks(spark):
+    """What is hit is added up over all items before the percentage is taken, however the benchmark is cut into blocks."""
+    words_ = prose(41, 100).split()
+    bench = spark.createDataFrame([("a", " ".join(words_[10:25])), ("b", " ".join(words_[20:36])), ("c", "nowhere at all")], "item_id string, text string")
+    rows = [(1, " ".join(words_)), (1, " ".join(words_)), (2, " ".join(words_[:9])), (None, None), (3, " ".join(words_[10:25])), (4, " ".join(words_ + words_[30:36] + prose(42, 200).split()))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    for percent, want in ((20, [2, 4, None]), (26, [1, 1, 2, 4, None])):  # 26 of 100 words are hit in 1, of 306 in 4
+        for most in (1, 6, 200_000):
+            kept = decontamination.filter_documents(docs, bench, max_hit_percent=percent, block_windows=most)
+            assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str), (percent, most)
+
+
 def test_pii(spark, docs, none):
     out = {r["_id"]: r["spans"] for r in pii.find(docs).collect() if r["_id"] is not None}
     assert [(pii.KINDS[c["kind"]], c["start"], c["end"]) for c in out[11]] == [("email", 5, 19), ("phone", 23, 40)] and not out[4] and not out[5]
