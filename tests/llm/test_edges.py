@@ -581,10 +581,76 @@ def test_reliabilities_find_the_good_labelers():
     posterior, table = pii.reliabilities(cells)
     right = [table[j, 1, 1] / (table[j, 1, 1] + table[j, -1, 1]) for j in range(4)]
     assert right[0] > 0.9 and right[0] > right[1] > right[2] > right[3] and abs(right[3] - 0.5) < 0.12
-    weights = pii.classifier(cells, posterior)
+    weights = pii.classifier(cells, [(0, 0, 0, 0)] * len(cells), posterior)
     assert weights[0, 1] > weights[2, 1] > 0 > weights[0, -1]
 
 
+def test_pii_classifier_learns_the_spans_features():
+    """Where the votes say less, the features of the spans decide."""
+    cells = [(2, (1, 1, 0, 1), 400.0), (2, (-1, -1, 0, -1), 400.0), (2, (0, 0, 0, 0), 10.0), (2, (0, 0, 0, 0), 10.0)]
+    features = [(2, 0, 3, 1), (1, 2, 1, 0), (2, 0, 3, 1), (1, 2, 1, 0)]
+    weights = pii.classifier(cells, features, [0.99, 0.01, 0.5, 0.5])
+    score = [sum(weights[x] for x in pii._active(k, v, f)) for (k, v, _), f in zip(cells, features, strict=True)]
+    assert score[0] > score[2] > 0 > score[3] > score[1]
+
+
+def test_pii_accepted_by_brute_force(spark):
+    """Scores, the threshold, and no overlap with a base span, one candidate after the other."""
+    rng = random.Random(6)
+    names = [("kind", k) for k in range(4)] + [(j, v) for j in range(4) for v in (-1, 1)] + [(k, f, x) for k in range(4) for f, n in pii.FEATURES.items() for x in range(n)]
+    weights = {name: rng.uniform(-1.5, 1.5) for name in names}
+    docs = []
+    for i in range(300):
+        own = []
+        for _ in range(rng.randint(0, 5)):
+            start = rng.randint(0, 30)
+            votes, features = [rng.choice([-1, 0, 1]) for _ in pii.LABELERS], [rng.randrange(n) for n in pii.FEATURES.values()]
+            own.append((rng.randrange(4), start, start + rng.randint(1, 9), rng.random() < 0.3, *votes, *features))
+        docs.append((i, own))
+    fields = ", ".join(f"{c}:int" for c in (*pii.LABELERS, *pii.FEATURES))
+    df = spark.createDataFrame(docs, f"i int, c array<struct<kind:int,start:long,end:long,base:boolean,{fields}>>")
+    got = {r["i"]: [tuple(x) for x in r["a"]] for r in df.select("i", pii.accepted("c", weights, 0.7).alias("a")).collect()}
+    for i, own in docs:
+        base = [c for c in own if c[3]]
+        score = lambda c: sum(weights[x] for x in pii._active(c[0], c[4:8], c[8:]))
+        more = [c for c in own if not c[3] and 1 / (1 + np.exp(-score(c))) >= 0.7 and not any(b[1] < c[2] and c[1] < b[2] for b in base)]
+        assert got[i] == sorted(base + more), i
+
+
+def test_pii_added_spans(spark):
+    """Planted spans that no base pattern finds, among base ones and what only looks like them: precision and recall."""
+    rng, rows, planted = random.Random(12), [], {}
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    area = lambda: str(rng.randint(201, 989))
+    for i in range(600):
+        before, after = prose(2000 + i, rng.randint(3, 30)), prose(4000 + i, rng.randint(3, 30))
+        what, real = [
+            (f"mail {prose(i, 1)}{number(2)}@mail.example.com", False),
+            (f"call +1 ({area()}) 555-{number(4)}", False),
+            (f"server 10.{rng.randint(1, 250)}.3.4", False),
+            (f"write to {prose(i, 1)}{number(2)} (at) example (dot) com", True),
+            (f"phone ({area()}) 555-{number(4)}", True),
+            (f"mobile {area()}-555-{number(4)}", True),
+            (f"host {':'.join(f'{rng.randrange(4096, 65536):x}' for _ in range(8))}", True),
+            (f"order {number(13)}x", False),
+            (f"build 1.{number(3)}.{number(4)}.{number(2)}", False),
+            (f"isbn 1{number(2)}-{number(3)}-{number(4)}", False),
+        ][i % 10]
+        head = f"{before} {what.split(' ')[0]} "
+        value = what.split(" ", 1)[1].removeprefix("to ")
+        text = f"{before} {what} {after}"
+        rows.append((i, text))
+        if real:
+            at = text.index(value, len(head) - 2)
+            planted[i] = (at, at + len(value))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r["_id"], c["start"], c["end"]) for r in found for c in r["spans"] if not c["base"]}
+    want = {(i, *x) for i, x in planted.items()}
+    precision, recall = len(added & want) / max(1, len(added)), len(added & want) / len(want)
+    print(f"added spans: precision {precision:.3f}, recall {recall:.3f} of {len(want)}")
+    assert precision >= 0.95 and recall >= 0.8
+
+
 def test_token_counts(docs, none):
     path = tokens.default_path("byte_bpe_50k.json")
     library = tokens._library(path)
