@@ -4,7 +4,7 @@ A document is its token ids and one end id. Only longer ones are cut, into piece
 shorter. The pieces are dealt by hash into groups of about `group_pieces`, whose number grows with the input; each group is
 packed by itself, longest piece first. A piece goes to the open sequence for which the sum over all residual gaps of the
 squared number of open sequences with that gap becomes smallest (equal sums: the smallest gap left); a new sequence is opened
-if no open one has room. Only lengths are shuffled, never ids or texts.
+if no open one has room. Only lengths reach a group; where ids are asked for, they join their places by the piece's number.
 
 Defined cases: null and empty texts are the end id alone; repeated rows and null ids are packed as rows of their own; an
 empty table gives an empty result; further columns are not read.
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .shared import materialize, text_slices
 from .tokens import encode
@@ -103,12 +104,18 @@ def _pack(size: int):
 
 
 def assign(parts: DataFrame, size: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """parts (with a column length, at most size) and for each row its sequence_id and offset."""
-    parts = materialize(parts, "pieces")
+    """parts (with a column length, at most size) and for each row its sequence_id and offset; binary columns aren't shuffled by group."""
+    parts = materialize(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-parts.count() // group_pieces))
-    keyed = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return keyed.groupBy("_group").applyInArrow(_pack(size), f"{kinds}, sequence_id long, offset long")
+    heavy = [f.name for f in parts.schema if f.dataType == BinaryType()]
+    light = parts.drop(*heavy)
+    keyed = light.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema)
+    placed = keyed.groupBy("_group").applyInArrow(_pack(size), f"{kinds}, sequence_id long, offset long")
+    if not heavy:
+        return placed.drop("_row")
+    places = placed.select(F.col("_row").alias("_placed"), "sequence_id", "offset")
+    return parts.join(places, parts["_row"] == places["_placed"]).drop("_row", "_placed")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ responses. Only digests and ids are grouped; the payloads pass one join. read()
 walks the frames by their block heads, decodes one record a frame, and validates each record's version, headers and lengths,
 the payload's digest, and that nothing follows the record.
 
-Record ids are `urn:page:<id>`. A revisit record keeps the HTTP head, whose Content-Length is the full payload's, and no
+Record ids are `urn:page:<id>`, percent-encoded; a page without an id has `urn:no-page`. A revisit record keeps the HTTP head, whose Content-Length is the full payload's, and no
 payload. Files go through the file system that the shared folder names; a task that runs twice writes another file, and the
 manifest, written last, names the files that count.
 
-Defined cases: null html is an empty payload; a page with a null id is always a response with the id `urn:page:` and is never
-referred to; of rows with equal payload and the same smallest id, one that is first in its file order stays a response and so
+Defined cases: null html is an empty payload; a page with a null id is always a response with the id `urn:no-page` and is
+never referred to; ids of text may hold any character, and an empty one isn't null; of rows with equal payload and the same smallest id, one that is first in its file order stays a response and so
 do its twins, as they have the same id; an empty table gives no archive and an empty result; further columns are not read.
 """
 
@@ -21,6 +21,8 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +41,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Of the first pages of a file, for its dictionary: how many, and their bytes together.
 DICTIONARY_PAGES, DICTIONARY_SOURCE, DICTIONARY_BYTES = 200, 1 << 20, 32 << 10
+#: Records of a batch on the way back.
+READ_ROWS = 10_000
 SCHEMA = "_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
 
 
@@ -46,6 +50,18 @@ class ArchiveError(ValueError):
     """An archive that isn't well-formed."""
 
 
+def _urn(page_id) -> str:
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='', errors='surrogatepass')}>"
+
+
+def _page(urn: str) -> tuple[str | None] | None:
+    """(page id,) of a record id; None if it is none."""
+    if urn == "<urn:no-page>":
+        return (None,)
+    found = re.fullmatch(r"<urn:page:([A-Za-z0-9._~%-]*)>", urn)
+    return (unquote(found[1], errors="surrogatepass"),) if found else None
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """One record: a response with its payload, or a revisit without it."""
     revisit = refers_to is not None
@@ -53,7 +69,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", _urn(page_id)),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -61,7 +77,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     if url:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn(refers_to))]
     head.append(("Content-Length", str(len(block))))
     return VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
 
@@ -101,7 +117,7 @@ def parse(raw: bytes) -> tuple[str, int, str, str, str | None]:
     kind, digest = told["warc-type"], told["warc-payload-digest"]
     if not size.isdigit() or not re.fullmatch(r"sha256:[0-9a-f]{64}", digest):
         raise ArchiveError("no payload length or digest")
-    page, refers = (re.fullmatch(r"<urn:page:(.*)>", told.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+    page, refers = (_page(told.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
     if not page:
         raise ArchiveError("an unknown record id")
     if kind == "response":
@@ -109,7 +125,7 @@ def parse(raw: bytes) -> tuple[str, int, str, str, str | None]:
             raise ArchiveError("the payload isn't what its head says")
     elif kind != "revisit" or payload or not refers or told.get("warc-profile") != REVISIT_PROFILE:
         raise ArchiveError("an unknown type, or a revisit that isn't one")
-    return page[1], int(size), digest[7:], kind, refers[1] if refers else None
+    return page[0], int(size), digest[7:], kind, refers[0] if refers else None
 
 
 def write_archive(sink, records: Iterator[bytes], sample: list[bytes]) -> None:
@@ -242,17 +258,20 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
 
 def _read(numeric: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = lambda x: None if x in (None, "") else int(x) if numeric else x
+        value = lambda x: None if x is None else int(x) if numeric else x
         kind = pa.int64() if numeric else pa.string()
         for batch in batches:
             for row in batch.to_pylist():
                 files, at = _filesystem(row["path"])
+                n = 0
                 with files.open_input_stream(at) as source:
-                    out = [parse(x) for x in read_archive(source)]
-                if len(out) != row["n_records"]:
-                    raise ArchiveError(f"{row['path']} has {len(out)} records, not {row['n_records']}")
-                page, size, digest, what, refers = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(map(value, page), kind), pa.array(size, pa.int64()), pa.array(digest), pa.array(what), pa.array(map(value, refers), kind)], ["_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    records = map(parse, read_archive(source))
+                    while out := list(islice(records, READ_ROWS)):
+                        n += len(out)
+                        page, size, digest, what, refers = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(map(value, page), kind), pa.array(size, pa.int64()), pa.array(digest), pa.array(what), pa.array(map(value, refers), kind)], ["_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                if n != row["n_records"]:
+                    raise ArchiveError(f"{row['path']} has {n} records, not {row['n_records']}")
 
     return read
 

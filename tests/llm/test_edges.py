@@ -713,6 +713,27 @@ def test_warc(spark):
     assert warc.read(spark, warc.write(df.limit(0))).count() == 0
 
 
+def test_warc_ids_of_text(spark):
+    """Ids with line ends, blanks, signs of headers, no signs at all, and none."""
+    ids = ["", "a\r\nWARC-Type: revisit", " x ", "<urn:page:1>", "%41", "é😀", None, "\t"]
+    rows = [(i, "u", "<html>" + "y" * 200) for i in ids] + [("~", "u", None)]
+    out = warc.read(spark, warc.write(spark.createDataFrame(rows, "page_id string, url string, html string")), numeric_ids=False).collect()
+    assert sorted((r["_id"], r["record_type"], r["refers_to"]) for r in out if r["_id"] is not None) == sorted([(i, "revisit" if i else "response", "" if i else None) for i in ids if i is not None] + [("~", "response", None)])
+    assert [r["record_type"] for r in out if r["_id"] is None] == ["response"]
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    import os
+
+    from bramble.llm import shared
+
+    with shared.scope(spark):
+        table = shared.materialize(spark.range(5), "some")
+        path = shared._OPEN[-1][0].removeprefix("file://")
+        assert table.count() == 5 and os.path.isdir(path)
+    assert not os.path.isdir(path) and not shared._OPEN
+
+
 def test_warc_damage():
     import io
 
