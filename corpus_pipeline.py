@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.llm import decontamination, ngram_join, packing, pii, quality_rules, tokens
-from bramble.llm.shared import fresh_path
+from bramble.llm.shared import delete, fresh_path, scope
 from bramble.ship import ship
 
 
@@ -57,11 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's result is written to the shared folder, and all that only it needed is deleted then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = fresh_path(spark, f"stage-{i}")
-        out.write.parquet(path)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
