@@ -7,6 +7,9 @@ The participants are those of the whole dialogue. A dialogue of more than `part_
 them, so that no row grows with the longest dialogue: part k holds its turns from k * part_turns on, counted in their order. The
 parts make one rendering: their texts, joined in order, are the dialogue's, and start and mask count from its first character.
 
+What is said can't forge a turn: in texts and names a backslash is put between `<` and `|`, also where backslashes stand there
+already, so that taking one away gives the text back; line ends in names are shown as blanks.
+
 Defined cases: null text is empty; a null speaker is shown as the user `unknown`, but nothing is rendered from its perspective,
 and it isn't the participant of that name, if there is one; rows with a null dialogue id are dialogues of one turn each; turns
 with equal numbers stand in the order of speaker and text, null turns first; a dialogue without a participant (system turns
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 #: The marks around a turn.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 SYSTEM, UNKNOWN = "system", "unknown"
+#: What would begin a mark, and what is put for it.
+MARK, MARKED = r"<(\\*)\|", r"<\\$1|"
 
 
 def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part_turns: int = 1000) -> DataFrame:
@@ -34,7 +39,7 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", sp
         F.col(turn_col).alias("_turn"),
         F.coalesce(F.col(speaker_col), F.lit(UNKNOWN)).alias("_speaker"),
         F.col(speaker_col).isNull().alias("_nobody"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARK, MARKED).alias("_text"),
     )
     # All that follows is by dialogue, so turns are shuffled once.
     ordered = Window.partitionBy("_id", "_alone").orderBy("_turn", "_speaker", "_text", "_nobody")
@@ -42,7 +47,7 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", sp
     numbered = slim.select("_id", "_alone", "_speaker", "_nobody", "_text", (F.row_number().over(ordered) - 1).alias("_n"), people.over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_people"))
     each = numbered.withColumn("perspective", F.explode("_people")).drop("_people")
     own = ~F.col("_nobody") & (F.col("_speaker") == F.col("perspective"))
-    head = F.concat(F.lit(BEGIN), F.when(own, "assistant").when(F.col("_speaker") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), F.col("_speaker"))), F.lit("\n"))
+    head = F.concat(F.lit(BEGIN), F.when(own, "assistant").when(F.col("_speaker") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), F.regexp_replace(F.regexp_replace("_speaker", MARK, MARKED), r"[\r\n]", " "))), F.lit("\n"))
     each = each.select("_id", "_alone", "perspective", "_n", own.alias("_own"), head.alias("_head"), F.concat(F.col("_text"), F.lit(END)).alias("_body"))
     before = Window.partitionBy("_id", "_alone", "perspective").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     length = (F.length("_head") + F.length("_body") + 1).cast("long")

@@ -128,18 +128,19 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("conv_id"), "part", "perspective", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), spans.alias("mask"))
 
 
-OP9_SQL = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn // 1000 AS part FROM conversations),
-p AS (SELECT DISTINCT conv_id, part, role AS perspective FROM t WHERE role <> 'system'),
+OP9_SQL = r"""
+WITH t AS (SELECT conv_id, role, coalesce(role, 'unknown') AS name, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text, turn FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, name, text) - 1 AS n FROM t),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM o WHERE role <> 'system'),
 r AS (
-  SELECT p.conv_id, p.part, p.perspective, t.turn, t.role, t.text, t.role = p.perspective AS own,
-    '<|im_start|>' || CASE WHEN t.role = p.perspective THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head,
-    t.text || '<|im_end|>' AS body
-  FROM p JOIN t ON p.conv_id = t.conv_id AND p.part = t.part),
-s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
+  SELECT p.conv_id, p.perspective, o.n, coalesce(o.role = p.perspective, false) AS own,
+    '<|im_start|>' || CASE WHEN o.role = p.perspective THEN 'assistant' WHEN o.role = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(regexp_replace(o.name, '<(\\*)\|', '<\\\1|', 'g'), '[\r\n]', ' ', 'g') END || chr(10) AS head,
+    o.text || '<|im_end|>' AS body
+  FROM p JOIN o ON p.conv_id = o.conv_id),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
 g AS (
-  SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
-    string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (own) AS mask
+  SELECT conv_id, n // 1000 AS part, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
+    string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (own) AS mask
   FROM s GROUP BY conv_id, part, perspective)
 SELECT conv_id, CAST(part AS BIGINT) AS part, perspective, n_turns, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256, coalesce(mask, '') AS mask FROM g
 """
