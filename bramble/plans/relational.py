@@ -5,13 +5,15 @@ Sums are taken over decimals or whole cents, so they don't depend on the order o
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cents, json_number, money, norm
-from ..operators import as_of_join, grouping_sets, range_join, salted_count_distinct, sessions, sliding, top_per_group, tumbling
+from ..operators import as_of_join, exact_quantiles, grouping_sets, range_join, salted_count_distinct, sessions, sliding, top_per_group, tumbling
 from ..sources import table
 from ..streaming import deduplicated, event_stream, run_available, run_complete, windowed_counts
 
@@ -153,7 +155,7 @@ def distinct_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @plan("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_price, quantile_cont(l_extendedprice, 0.9) AS p90_price FROM lineitem GROUP BY l_returnflag")
 def exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("median_price"), F.percentile("l_extendedprice", F.lit(0.9)).alias("p90_price"))
+    return exact_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"median_price": 0.5, "p90_price": 0.9})
 
 
 @plan("""
@@ -295,15 +297,18 @@ def streaming_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 @plan("SELECT event_id, user_id, event_type FROM events")
 def streaming_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that brings each event three times, brought down to one."""
     out = _stream_folder(spark, "first")
-    stream = deduplicated(event_stream(spark, d), ["event_id"]).select("event_id", "user_id", "event_type")
+    once = event_stream(spark, d)
+    stream = deduplicated(once.unionByName(once).unionByName(once), ["event_id"]).select("event_id", "user_id", "event_type")
     return run_available(stream, f"{out}/table", f"{out}/checkpoint")
 
 
 def _stream_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bramble-")
-    return f"{shared.rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; where none is named, a local one, but only for a master on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="bramble-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

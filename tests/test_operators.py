@@ -97,3 +97,20 @@ def test_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], '{"k": 2.5}', 1.005), ([0.0], [1.0], "no json", None), (None, [1.0], None, -2.5)], "a array<float>, b array<float>, j string, m double")
     out = df.select(functions.norm("a"), functions.cosine("a", "b"), functions.json_number("j", "$.k"), functions.cents("m")).collect()
     assert tuple(out[0])[:3] == (5.0, pytest.approx(0.96), 2.5) and tuple(out[1]) == (0.0, None, None, None) and tuple(out[2]) == (None, None, None, -250)
+
+
+def test_exact_quantiles(spark):
+    """Ties, one value, nulls, a null group, values far apart, and no rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=400).round(1).tolist() + [1e12, -1e12], "b": [5.0] * 50, "c": [1.0], None: [float(x) for x in range(11)], "d": [0.1, 0.2]}
+    rows = [(k, float(v)) for k, own in groups.items() for v in own] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"q0": 0.0, "q33": 0.33, "q50": 0.5, "q999": 0.999, "q1": 1.0}
+    out = {r["k"]: r for r in operators.exact_quantiles(df, ["k"], "v", wanted).collect()}
+    assert set(out) == set(groups)
+    for k, own in groups.items():
+        for name, q in wanted.items():
+            assert abs(out[k][name] - np.quantile(own, q)) <= 1e-9 * max(1, abs(np.quantile(own, q))), (k, name)
+    assert operators.exact_quantiles(df.limit(0), ["k"], "v", wanted).count() == 0
