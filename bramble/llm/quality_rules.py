@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 #: Hosts to reject beyond which the verdicts aren't broadcast.
 BROADCAST_HOSTS = 200_000
 WINDOW = 5
+#: Windows of a text that are looked up at once.
+STEP = 1 << 18
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -40,15 +42,18 @@ def _repeat_words(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for i in np.flatnonzero(np.diff(bounds) > WINDOW):
         start, end = bounds[i], bounds[i + 1]
         own = every[start : end - WINDOW + 1]
-        order = np.argsort(own, kind="stable")
-        same = own[order[1:]] == own[order[:-1]]
-        if not same.any():
+        ranked = np.sort(own)
+        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        del ranked
+        if not len(twice):
             continue
-        twice = np.zeros(end - start + 1, dtype=np.int64)
-        places = np.unique(np.concatenate((order[1:][same], order[:-1][same])))
-        np.add.at(twice, places, 1)
-        np.add.at(twice, places + WINDOW, -1)
-        out[i] = int((np.cumsum(twice)[:-1] > 0).sum())
+        inside = np.zeros(end - start, dtype=bool)
+        for at in range(0, len(own), STEP):
+            some = own[at : at + STEP]
+            found = twice[np.minimum(np.searchsorted(twice, some), len(twice) - 1)] == some
+            for k in range(WINDOW):
+                inside[at + k : at + k + len(some)] |= found
+        out[i] = np.count_nonzero(inside)
     return out
 
 

@@ -6,6 +6,8 @@ with a chance of about 2^-64, so fingerprints stand for words where texts are co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -73,11 +75,12 @@ def _one_word(word: np.ndarray, lower: bool) -> np.ndarray:
     return mix(np.array([(total + len(word) * int(_LENGTH)) % (1 << 64)], dtype=np.uint64))
 
 
-def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, ends, fingerprints) of the words in a byte buffer, chunk by chunk."""
     if len(buffer) <= 2 * CHUNK:
-        return _fingerprints(buffer, kind, lower)
-    parts, at, n = [], 0, len(buffer)
+        yield _fingerprints(buffer, kind, lower)
+        return
+    at, n = 0, len(buffer)
     while at < n:
         end = min(at + CHUNK, n)
         inner = end
@@ -91,19 +94,25 @@ def fingerprints(buffer: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.
             own = [_fingerprints(buffer[at:inner], kind, lower), (np.array([inner - at]), np.array([end - at]), _one_word(buffer[inner:end], lower))]
         else:
             own = [_fingerprints(buffer[at:end], kind, lower)]
-        parts += [(starts + at, ends + at, h) for starts, ends, h in own]
+        yield from ((starts + at, ends + at, h) for starts, ends, h in own)
         at = end
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def words_of(texts: list[str | None], kind: np.ndarray = PLAIN, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the words of all texts, one after another, and the offset where each text's words start (one more at the end)."""
+    """Fingerprints of the words of all texts, one after another, and the offset where each text's words start (one more at the end).
+
+    Of a long text only fingerprints are kept beside its bytes: the words' places are counted chunk by chunk.
+    """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw))
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    starts, _, h = fingerprints(buffer, kind, lower)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    return h, np.searchsorted(starts, bounds)
+    starts_at = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    buffer = np.frombuffer(raw[0] if len(raw) == 1 else b"\n".join(raw), dtype=np.uint8)
+    del raw
+    before, parts = np.zeros(len(starts_at), dtype=np.int64), [np.zeros(0, dtype=np.uint64)]
+    for starts, _, h in fingerprints(buffer, kind, lower):
+        before += np.searchsorted(starts, starts_at)
+        parts.append(h)
+    del buffer
+    return np.concatenate(parts), before
 
 
 #: Odd factors, one for each place in a window.
@@ -115,10 +124,14 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = h[:n] * _PLACE[0]
-    for i in range(1, width):
-        out += h[i : i + n] * _PLACE[i]
-    return mix(out + np.uint64(width))
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, CHUNK):
+        end = min(at + CHUNK, n)
+        own = h[at:end] * _PLACE[0]
+        for i in range(1, width):
+            own += h[at + i : end + i] * _PLACE[i]
+        out[at:end] = mix(own + np.uint64(width))
+    return out
 
 
 def whole(h: np.ndarray) -> np.ndarray:
