@@ -57,8 +57,8 @@ HELD_LINKS, HELD_SHINGLES = 100_000, 500_000
 BROADCAST_GROUPS = 20_000
 #: A shingle is frequent if it is in so many sets, of which parts of a task with at least so many count; of more, the most frequent are taken.
 FREQUENT, FREQUENT_PART, FREQUENT_MOST = 64, 4, 500_000
-#: Shingles of a part.
-PART_SHINGLES = 1_000_000
+#: Shingles of a part, and those of a set that are worked on at once.
+PART_SHINGLES, STEP = 2_000_000, 1 << 18
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -68,16 +68,26 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     every = windows(h, width)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
-            yield np.unique(every[a : b - width + 1])
+            own = every[a : b - width + 1]
+            own.sort()  # in place: no other text has any of it
+            new = np.ones(len(own), dtype=bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield own[new]
         elif b > a:
             yield windows(h[a:b], b - a)
         else:
             yield every[:0]
 
 
+def _steps(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[at : at + STEP] for at in range(0, len(x), STEP))
+
+
 def node_of(shingles: np.ndarray) -> np.int64:
     """One 64-bit name for a set."""
-    total = mix(shingles ^ _C[0]).sum(keepdims=True, dtype=np.uint64)
+    total = np.zeros(1, dtype=np.uint64)
+    for x in _steps(shingles):
+        total += mix(x ^ _C[0]).sum(dtype=np.uint64)
     return mix(total + np.array([len(shingles)], dtype=np.uint64) * _C[1]).view(np.int64)[0]
 
 
@@ -110,23 +120,21 @@ def slot_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray | None =
     """The keys under which a set is filed. frequent: sorted shingles that the first deal leaves out."""
     out, rare = [], shingles
     if frequent is not None and len(frequent):
-        at = np.searchsorted(frequent, shingles)
-        at[at == len(frequent)] = 0
-        rare = shingles[frequent[at] != shingles]
+        rare = np.concatenate([x[frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] != x] for x in _steps(shingles)] or [shingles])
     for number, k in _contexts_of(len(shingles), percent):
         spare = 1 + -(-k // 10)
         m = k + 1 + spare
         for seed in range(SEEDS + 1):
-            own = mix((shingles if seed else rare) + _C[2] * np.array([seed + 1], dtype=np.uint64))
-            slot = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            ranked = slot[order]
-            first = np.flatnonzero(np.diff(ranked, prepend=-1))
-            used = ranked[first]
+            digest, filled = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=bool)
+            for x in _steps(shingles if seed else rare):
+                own = mix(x + _C[2] * np.array([seed + 1], dtype=np.uint64))
+                slot = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+                np.add.at(digest, slot, mix(own ^ _C[3]))
+                filled[slot] = True
+            used = np.flatnonzero(filled)
             salt = np.array([number * (SEEDS + 1) + seed + 1], dtype=np.uint64) * _C[0]
             if len(used):
-                digest = np.add.reduceat(mix(own ^ _C[3])[order], first)
-                out.append(mix(digest + used.astype(np.uint64) * _C[1] + salt))
+                out.append(mix(digest[used] + used.astype(np.uint64) * _C[1] + salt))
             if m - len(used) <= spare:
                 break
         else:
@@ -166,13 +174,15 @@ def _read(width: int):
             own = [piece.column(piece.schema.get_field_index(c)) for c, _ in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), *(pa.nulls(len(sets), k) for k in kinds[2:])], [*(c for c, _ in kept), *names])
             for node, x in zip(nodes, sets, strict=True):
-                if node is not None and _new(seen, node):
-                    held.append(x)
-                    size += len(x)
-            if size >= PART_SHINGLES:
-                yield counts(held, kept)
-                held, size = [], 0
-        if held:
+                if node is None or not _new(seen, node):
+                    continue
+                if size + len(x) > PART_SHINGLES and len(held) >= FREQUENT_PART:
+                    yield counts(held, kept)
+                if size + len(x) > PART_SHINGLES:
+                    held, size = [], 0
+                held.append(x)
+                size += len(x)
+        if len(held) >= FREQUENT_PART:  # in fewer sets no shingle counts
             yield counts(held, kept)
 
     return read

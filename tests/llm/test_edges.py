@@ -290,6 +290,16 @@ def test_long_texts_in_chunks(monkeypatch):
             monkeypatch.setattr(words, "CHUNK", chunk)
             assert all((a == b).all() for a, b in zip(whole, words.words_of(texts, kind, lower=True), strict=True))
         monkeypatch.undo()
+    sets, h, bounds = list(ngram_join.shingle_sets(texts, 4)), *words.words_of(texts)
+    frequent = np.sort(np.concatenate(sets)[::5])
+    plain = lambda x: (ngram_join.node_of(x), np.sort(ngram_join.slot_keys(x, 85, frequent)).tolist())
+    whole, repeats = [plain(x) for x in sets if len(x)], quality_rules._repeat_words(h, bounds)
+    for step in (1, 7, 100):
+        for module, name in ((ngram_join, "STEP"), (quality_rules, "STEP"), (words, "CHUNK")):
+            monkeypatch.setattr(module, name, step)
+        assert all((a == b).all() for a, b in zip(sets, ngram_join.shingle_sets(texts, 4), strict=True))
+        assert [plain(x) for x in sets if len(x)] == whole and (quality_rules._repeat_words(h, bounds) == repeats).all()
+    monkeypatch.undo()
     texts += ["123 . ", " abc", "abc1", "é", "1" * 9 + "a" * 9 + "b"]
     whole = list(language_id.features(texts))
     for long in (3, 7, 100):
