@@ -34,6 +34,8 @@ from .words import ALPHA, windows, words_of
 SHINGLE = 4
 #: Windows of one broadcast block: with 10 words each, 16 MB of fingerprints.
 BLOCK_WINDOWS = 200_000
+#: Places in texts and windows that are compared at once.
+PAIRS = 50_000
 _BITS = 20
 
 
@@ -169,23 +171,23 @@ def _search(indexes: list[Index], text_col: str):
             for index in indexes:
                 at, number = _found(windows(h, index.shingle), index.keys, index.hint)
                 many = index.first[number + 1] - index.first[number]
-                # Windows that share a shingle are compared in steps of bounded size.
-                for low in range(0, len(at), 50_000):
-                    a, c, f = at[low : low + 50_000], many[low : low + 50_000], index.first[number[low : low + 50_000]]
-                    for step in range(int(c.max(initial=0))):
-                        live = c > step
-                        window = index.filed[f[live] + step]
-                        start = a[live] - index.offset[window]
-                        doc = np.searchsorted(bounds, a[live], side="right") - 1
-                        fits = (start >= bounds[doc]) & (start + index.size <= bounds[doc + 1])
-                        window, start, doc = window[fits], start[fits], doc[fits]
-                        equal = np.ones(len(start), dtype=bool)
-                        for i in range(index.size):
-                            equal &= h[start + i] == index.words[window, i]
-                        np.add.at(delta, start[equal], 1)
-                        np.add.at(delta, start[equal] + index.size, -1)
-                        for w, d in zip(window[equal].tolist(), doc[equal].tolist(), strict=True):
-                            ids[d].update(index.items[w])
+                last = np.cumsum(many)
+                # Each place with each window filed under its shingle, however many share one, in steps of bounded size.
+                for low in range(0, int(many.sum()), PAIRS):
+                    pair = np.arange(low, min(low + PAIRS, int(last[-1])))
+                    place = np.searchsorted(last, pair, side="right")
+                    window = index.filed[index.first[number[place]] + pair - (last - many)[place]]
+                    start = at[place] - index.offset[window]
+                    doc = np.searchsorted(bounds, at[place], side="right") - 1
+                    fits = (start >= bounds[doc]) & (start + index.size <= bounds[doc + 1])
+                    window, start, doc = window[fits], start[fits], doc[fits]
+                    equal = np.ones(len(start), dtype=bool)
+                    for i in range(index.size):
+                        equal &= h[start + i] == index.words[window, i]
+                    np.add.at(delta, start[equal], 1)
+                    np.add.at(delta, start[equal] + index.size, -1)
+                    for w, d in zip(window[equal].tolist(), doc[equal].tolist(), strict=True):
+                        ids[d].update(index.items[w])
             hit = np.cumsum(delta[:-1]) > 0
             starts, ends = [], []
             for i in range(n):

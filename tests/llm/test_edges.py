@@ -551,6 +551,16 @@ def test_decontamination_percent_of_all_blocks(spark):
             assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str), (percent, most)
 
 
+def test_decontamination_of_items_under_one_shingle(spark):
+    """400 windows are filed under one shingle and met at 400 places of one text: more pairs than one step takes."""
+    items = [(i, "one phrase of all " + " ".join(f"w{i}x{k}" for k in range(6))) for i in range(400)]
+    assert len(items) ** 2 > 3 * decontamination.PAIRS
+    rows = [(1, " ".join(t for _, t in items)), (2, items[7][1].rsplit(" ", 1)[0] + " other"), (3, "one phrase of all " + items[7][1]), (4, "one phrase of all")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {r["_id"]: (r["n_words"], r["starts"], r["ends"], r["items"]) for r in decontamination.find(docs, bench).collect()}
+    assert out == {1: (4000, [0], [4000], sorted(str(i) for i, _ in items)), 2: (10, [], [], []), 3: (14, [4], [14], ["7"]), 4: (4, [], [], [])}
+
+
 def test_pii(spark, docs, none):
     out = {r["_id"]: r["spans"] for r in pii.find(docs).collect() if r["_id"] is not None}
     assert [(pii.KINDS[c["kind"]], c["start"], c["end"]) for c in out[11]] == [("email", 5, 19), ("phone", 23, 40)] and not out[4] and not out[5]
