@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import delete, fresh_path
+from .shared import delete, fresh_path, write
 
 #: Edges that a task brings down to a forest at once, and edges that one task may end with: 16 bytes each.
 HELD_EDGES, ONE_TASK = 1_000_000, 1_000_000
@@ -64,7 +64,7 @@ def _contract(most: int):
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,12 +6,17 @@ Two documents link if 100 * intersection >= percent * union. Equal sets are one
 Which nodes meet in a tile. Linked sets of sizes a <= b differ in at most k = (100 - percent) / (100 + percent) * (a + b)
 shingles. Sizes are cut into bands; each band, and each border between two bands, is a context with a bound on a + b and so on
 k. In each context the shingles are dealt by hash into k + 1 + spare slots. A differing shingle spoils one slot at most, so two
-linked sets agree in more than `spare` slots, of which one at least isn't empty if either set has no more than `spare` empty
-ones; a set with more is dealt again with another seed, and after the last seed files its empty slots too. Sets that agree in
-no slot can't be linked: none is lost. Slot keys are shuffled as packed arrays, and each key's nodes are tied to its smallest;
-that is done before the shuffle too, so a key that a third of all nodes have reaches its task once for each buffer filled.
+linked sets agree in all slots but k. A slot is filed if it has enough shingles. If either set files more slots than can be
+spoiled, one in which they agree is among them, and as its content is the same, the other set files it too; a set that files
+fewer is dealt again with another seed, and after the last seed files its empty slots too. Sets that agree in no slot can't be
+linked: none is lost. Slot keys are shuffled as packed arrays, and each key's nodes are tied to its smallest; that is done
+before the shuffle too, so a key that a third of all nodes have reaches its task once for each buffer filled.
 
-The first deal leaves out frequent shingles, so that a passage in many documents doesn't tie them all; later deals take whole
+From a k of `PAIRED` on, enough is two shingles in the first deal. A slot of one shingle is the same in all sets that have it to
+themselves there, so passages that each are in few sets would tie more and more long documents as a table grows, in the end all
+of them, and a tied group is compared with the square of its size. Two shared shingles seldom have a slot to themselves.
+
+The first deals leave out frequent shingles, so that a passage in many documents doesn't tie them all; later deals take whole
 sets. Leaving the same shingles out of two sets makes them differ in no more than before, so nothing is lost by it whichever
 shingles they are. They are found by counting all distinct sets, a task's part at a time, and are at most `FREQUENT_MOST`.
 
@@ -46,6 +51,8 @@ from .words import mix, windows, words_of
 #: A band ends at about this times its start.
 BAND = 1.41
 SEEDS = 3
+#: From so large a k on, slots of one shingle aren't filed at first, and of so many percent of k are the slots to spare then.
+PAIRED, SPARE = 16, 36
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Slot keys that a task holds before it hands them on, keys for a part after the shuffle, and partitions, of several parts each if need be.
 HELD_KEYS, PARTITION_KEYS, MOST_PARTITIONS = 500_000, 1_000_000, 20_000
@@ -116,26 +123,34 @@ def _starts(percent: int) -> np.ndarray:
     return np.array([x[0] for x in contexts(percent)[::2]])
 
 
+def _deals(k: int) -> tuple[int, list[tuple[int, bool]]]:
+    """The number of slots of a context, and of each deal in it how many shingles a slot must have to be filed, and whether it leaves out frequent ones."""
+    if k < PAIRED:
+        return k + 2 + -(-k // 10), [(1, True), *[(1, False)] * SEEDS]
+    return k + 1 + -(-SPARE * k // 100), [(2, True), (1, True), (2, False), (1, False)]
+
+
 def slot_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The keys under which a set is filed. frequent: sorted shingles that the first deal leaves out."""
-    out, rare = [], shingles
+    """The keys under which a set is filed. frequent: sorted shingles that some deals leave out."""
+    out, rare, n = [], shingles, len(shingles)
     if frequent is not None and len(frequent):
         rare = np.concatenate([x[frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] != x] for x in _steps(shingles)] or [shingles])
-    for number, k in _contexts_of(len(shingles), percent):
-        spare = 1 + -(-k // 10)
-        m = k + 1 + spare
-        for seed in range(SEEDS + 1):
-            digest, filled = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=bool)
-            for x in _steps(shingles if seed else rare):
+    for number, k in _contexts_of(n, percent):
+        m, deals = _deals(k)
+        # In no more shingles does the set differ from a linked one that it meets in this context.
+        apart = min(k, (100 - percent) * (n + min(contexts(percent)[number][1], 100 * n // percent)) // (100 + percent))
+        for seed, (least, sparing) in enumerate(deals):
+            digest, held = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.int64)
+            for x in _steps(rare if sparing else shingles):
                 own = mix(x + _C[2] * np.array([seed + 1], dtype=np.uint64))
                 slot = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
                 np.add.at(digest, slot, mix(own ^ _C[3]))
-                filled[slot] = True
-            used = np.flatnonzero(filled)
+                held += np.bincount(slot, minlength=m)
+            used = np.flatnonzero(held >= least)
             salt = np.array([number * (SEEDS + 1) + seed + 1], dtype=np.uint64) * _C[0]
             if len(used):
                 out.append(mix(digest[used] + used.astype(np.uint64) * _C[1] + salt))
-            if m - len(used) <= spare:
+            if len(used) > apart:
                 break
         else:
             empty = np.setdiff1d(np.arange(m), used)

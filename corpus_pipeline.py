@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.llm import decontamination, ngram_join, packing, pii, quality_rules, tokens
-from bramble.llm.shared import delete, fresh_path, scope
+from bramble.llm.shared import delete, fresh_path, scope, write
 from bramble.ship import ship
 
 
@@ -63,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, f"stage-{i}")
         with scope(spark):
             out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
+            write(out, path)
         docs = spark.read.schema(out.schema).parquet(path)
         if before:
             delete(spark, before)

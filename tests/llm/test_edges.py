@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("bramble.llm")
-from bramble.llm import decontamination, graph, language_id, ngram_join, packing, perspectives, pii, quality_rules, token_counts, token_files, tokens, warc, words  # noqa: E402
+from bramble.llm import decontamination, graph, language_id, ngram_join, packing, perspectives, pii, quality_rules, shared, token_counts, token_files, tokens, warc, words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, _host string, node long, n long, tile string, _spans string, _gone long, _bad_host string, piece string, _group int"
 CLASH = ("id", "text", "host", 1, 2, "tile", "spans", 3, "bad", "piece", 4)
@@ -209,6 +210,48 @@ def test_linked_sets_share_a_key(percent):
                 assert np.intersect1d(ngram_join.slot_keys(a, percent, frequent), ngram_join.slot_keys(b, percent, frequent)).size, (n, out, new, share)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_long_linked_sets_share_a_key(percent):
+    """As test_linked_sets_share_a_key, of sets whose slots of one shingle aren't filed at first, at the very limit of what links."""
+    rng = np.random.default_rng(percent)
+    for n in [70, 100, 140, 200, 281, 400, 563, 1100, 2500]:
+        for part in (0, 0.2, 0.5, 1):  # of what differs, the share that b lacks
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                linked = lambda out, new: 100 * (n - out) >= percent * (n + new)
+                d = max(d for d in range(n) if linked(int(part * d), d - int(part * d)))
+                b = np.unique(np.concatenate((rng.permutation(a)[int(part * d) :], rng.integers(0, 2**63, d - int(part * d), dtype=np.uint64))))
+                for share in (0, 0.2, 0.7):
+                    frequent = np.sort(rng.permutation(every := np.union1d(a, b))[: int(share * len(every))])
+                    assert np.intersect1d(ngram_join.slot_keys(a, percent, frequent), ngram_join.slot_keys(b, percent, frequent)).size, (n, part, share)
+
+
+def test_shared_passages_tie_few_long_sets():
+    """Passages in so few sets that none is frequent: if each tied its sets, all long ones would be one group, compared with the square of their number."""
+    rng = np.random.default_rng(5)
+    passages = rng.integers(0, 2**63, (40, 6), dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.integers(0, 2**63, n, dtype=np.uint64), passages[rng.permutation(40)[:3]].ravel()))) for n in rng.integers(1500, 3000, 300).tolist()]
+    keys = [ngram_join.slot_keys(s, 80) for s in sets]
+    ties = ngram_join.compact(np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys]))[2]
+    assert len(np.unique(ties)) < 20
+
+
+def test_tables_written_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        every = blocks.getAllFiles()
+        return {n for k in range(every.size()) if (n := every.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    with shared.scope(spark):
+        out = shared.materialize(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "some")
+        until = time.time() + 10
+        while (left := shuffles() - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left and out.count() == 7
+
+
 def test_small_buffers_tie_the_same_nodes(monkeypatch):
     """Keys leave a buffer once, before and after the shuffle; what is tied stays tied, and a key of all nodes is shuffled once a buffer."""
     base = prose(31, 80)
